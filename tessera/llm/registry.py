@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import mixing, splitting, topn
+from tessera.llm import leaks, mixing, splitting, topn
 
-MODULES = (splitting, topn, mixing)
+MODULES = (splitting, topn, leaks, mixing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
