@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import leaks, mixing, quality, splitting, topn
+from tessera.llm import leaks, mixing, quality, secrets, splitting, topn
 
-MODULES = (splitting, topn, leaks, mixing, quality)
+MODULES = (secrets, splitting, topn, leaks, mixing, quality)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
