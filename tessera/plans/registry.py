@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import integrity
+from tessera.plans import findings, first_generation, integrity
 
-MODULES = (integrity,)
+MODULES = (integrity, findings, first_generation)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
