@@ -121,8 +121,8 @@ def _over(rollup):
 
 
 QUERIES = {("review_queue" if n == "review_queue" else f"findings_{n}"): _over(f) for n, f in ROLLUPS.items()}
-# no finding of the test tables needs an update: the write calls are taken for them
-QUERIES["findings_needs_update"] = lambda spark, sf_dir: needs_update(table(spark, sf_dir, "scan_results"), "potential_write")
+# no finding of the test tables needs an update: the category of write calls is taken for theirs
+QUERIES["findings_needs_update"] = lambda spark, sf_dir: needs_update(table(spark, sf_dir, "scan_results"), "write")
 
 _T = "scan_results"
 _STATUS = "CASE " + " ".join(f"WHEN {c} THEN '{n}'" for n, c in STATUSES) + " ELSE 'clean' END"
@@ -139,7 +139,7 @@ ORACLE = {
     "findings_cross_workspace_lh": f"""SELECT workspace_name AS notebook_ws, display_name AS notebook, attached_lakehouse_workspace_name AS lakehouse_ws, attached_lakehouse_name AS lakehouse, count(*) AS findings
         FROM {_T} WHERE lower(attached_lakehouse_workspace_id) <> lower(workspace_id) GROUP BY 1, 2, 3, 4 ORDER BY findings DESC, 1 NULLS FIRST, 2 NULLS FIRST, 3 NULLS FIRST, 4 NULLS FIRST LIMIT 200""",
     "findings_needs_update": f"""WITH g AS (SELECT *, row_number() OVER (PARTITION BY workspace_name, display_name, notebook_id, attached_lakehouse_name ORDER BY cell_index NULLS FIRST, line_number NULLS FIRST, message NULLS FIRST, code_snippet NULLS FIRST) AS k
-        FROM {_T} WHERE category = 'potential_write')
+        FROM {_T} WHERE category = 'write')
         SELECT workspace_name, display_name, notebook_id, attached_lakehouse_name, count(*) AS findings, min(cell_index) AS first_cell, min(line_number) AS first_line,
         max(message) FILTER (k = 1) AS sample_message, max(code_snippet) FILTER (k = 1) AS sample_snippet FROM g GROUP BY 1, 2, 3, 4
         ORDER BY findings DESC, 1 NULLS FIRST, 2 NULLS FIRST, 3 NULLS FIRST, 4 NULLS FIRST LIMIT 500""",

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import findings, first_generation, integrity
+from tessera.plans import audit, endpoints, findings, first_generation, integrity, manifest
 
-MODULES = (integrity, findings, first_generation)
+MODULES = (integrity, findings, first_generation, endpoints, manifest, audit)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
