@@ -9,7 +9,7 @@ from typing import NamedTuple
 
 # The marks of a source export.
 HEADER = "# Fabric notebook source"
-CELL, MARKDOWN, METADATA, META = "# CELL ***", "# MARKDOWN ***", "# METADATA ***", "# META"
+CELL, MARKDOWN, METADATA, META = "# CELL ****", "# MARKDOWN ****", "# METADATA ****", "# META"
 
 
 class Block(NamedTuple):

@@ -27,9 +27,13 @@ def key_runs(keys: DataFrame) -> DataFrame:
     starts = F.when(reach.isNull() | ((reach < HIGHEST) & (F.col("lo") > reach + 1)), 1).otherwise(0)
     island = keys.distinct().withColumn("starts", starts).withColumn("island", F.sum("starts").over(w))
     runs = island.groupBy("id", "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    before = runs.groupBy("id").agg(F.lit(LOWEST).cast("long").alias("lo"), F.lit(LOWEST).cast("long").alias("hi"), F.min("lo").alias("next_lo"))
-    after = runs.withColumn("next_lo", F.coalesce(F.lead("lo").over(Window.partitionBy("id").orderBy("lo")), F.lit(HIGHEST)))
-    return before.select("id", "lo", "hi", "next_lo", F.lit(True).alias("too_early")).union(after.select("id", "lo", "hi", "next_lo", F.lit(False).alias("too_early")))
+    following = Window.partitionBy("id").orderBy("lo")
+    linked = runs.withColumn("next_lo", F.coalesce(F.lead("lo").over(following), F.lit(HIGHEST))).withColumn("first", F.row_number().over(following) == 1)
+    own = F.struct("lo", "hi", "next_lo", F.lit(False).alias("too_early"))
+    lowest = F.lit(LOWEST).cast("long")
+    before = F.struct(lowest.alias("lo"), lowest.alias("hi"), F.col("lo").alias("next_lo"), F.lit(True).alias("too_early"))
+    # exploded rather than united, so the runs of an id stay in one partition
+    return linked.select("id", F.inline(F.when(F.col("first"), F.array(before, own)).otherwise(F.array(own))))
 
 
 def lifetimes(parents: DataFrame, id_: Column, first: Column, gone: Column) -> DataFrame:

@@ -43,22 +43,25 @@ REFERENCES = (
 )
 
 
+#: Targets: table, id
+TARGETS = (("dim_workspace", "workspace_id"), ("item_inventory", "item_id"))
+
+
 def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orphan references of all tables, one row per repeated delivery left out."""
-    parts = []
-    for target in ("dim_workspace", "item_inventory"):
-        key = "workspace_id" if target == "dim_workspace" else "item_id"
-        parents = lifetimes(table(spark, sf_dir, target), canonical_id(F.col(key)), F.col("first_seen"), F.col("deleted_at"))
-        refs = reduce(
-            DataFrame.unionByName,
-            [
-                table(spark, sf_dir, t).select(F.lit(t).alias("table_name"), F.col(k).cast("string").alias("row_key"), F.lit(c).alias("ref_column"), reference_id(F.col(c)).alias("ref_id"), F.col(at).alias("ref_at"))
-                for t, k, c, at, to in REFERENCES
-                if to == target
-            ],
-        )
-        parts.append(orphan_references(refs, parents))
-    return reduce(DataFrame.unionByName, parts).distinct()
+    """Orphan references of all tables, repeated deliveries left out.
+
+    All targets share one set of runs, an id being told apart by its table, so all references take one join.
+    """
+    tagged = lambda t, c: F.concat(F.lit(f"{t}:"), c)  # noqa: E731  NULL for a NULL id
+    parents = reduce(DataFrame.unionByName, [lifetimes(table(spark, sf_dir, t), tagged(t, canonical_id(F.col(k))), F.col("first_seen"), F.col("deleted_at")) for t, k in TARGETS])
+    refs = reduce(
+        DataFrame.unionByName,
+        [
+            table(spark, sf_dir, t).select(F.lit(t).alias("table_name"), F.col(k).cast("string").alias("row_key"), F.lit(c).alias("ref_column"), tagged(to, reference_id(F.col(c))).alias("ref_id"), F.col(at).alias("ref_at"))
+            for t, k, c, at, to in REFERENCES
+        ],
+    )
+    return orphan_references(refs, parents).distinct()
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import audit, endpoints, findings, first_generation, integrity, manifest
+from tessera.plans import audit, catalogue, endpoints, findings, first_generation, integrity, manifest, scans
 
-MODULES = (integrity, findings, first_generation, endpoints, manifest, audit)
+MODULES = (integrity, findings, first_generation, endpoints, manifest, audit, scans, catalogue)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,8 +23,20 @@ def build_session(app: str = "tessera", master: str | None = None, cores: int =
     return b.getOrCreate()
 
 
+def guard_unions(spark: SparkSession) -> None:
+    """Keeps a union from claiming its inputs' partitioning.
+
+    Spark 4.1 lets an aggregate or join after a union of equally partitioned inputs go without an
+    exchange; adaptive execution then coalesces each input by itself, and equal keys
+    end in different tasks (seen as repeated groups).  Without the claim the exchange comes back.
+    """
+    if spark.conf.get("spark.sql.unionOutputPartitioning", "true") != "false":
+        spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder (a parquet file or a folder of them)."""
+    guard_unions(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
