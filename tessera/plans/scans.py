@@ -23,9 +23,14 @@ from tessera.session import table
 _PORTABLE = tuple(r for r in RULES if "(?<" not in r.regex)
 
 
+def _once(df: DataFrame, key: str) -> DataFrame:
+    """Repeated rows once, spread over as many tasks as a shuffle has: what follows is bound by computing, not by bytes, so it must not be coalesced by size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key).distinct()
+
+
 def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notebook sources once each, with a path whose ending tells the container."""
-    n = table(spark, sf_dir, "notebook_sources").select("source_id", "workspace_id", "workspace_name", "display_name", "notebook_id", "source_text").distinct()
+    n = _once(table(spark, sf_dir, "notebook_sources").select("source_id", "workspace_id", "workspace_name", "display_name", "notebook_id", "source_text"), "source_id")
     ending = F.when(F.ltrim("source_text").startswith("{"), ".ipynb").otherwise(".py")
     return n.withColumn("path", F.concat("display_name", ending))
 
@@ -45,12 +50,12 @@ def scanned_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rule_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits and documents of each rule, counted in the JVM."""
-    s = table(spark, sf_dir, "notebook_sources").select("source_id", "source_text").distinct()
+    s = _once(table(spark, sf_dir, "notebook_sources").select("source_id", "source_text"), "source_id")
     return rule_hits(s, "source_id", "source_text", _PORTABLE).groupBy("rule").agg(F.sum("hits").alias("hits"), F.count("*").alias("documents"))
 
 
 def snippet_rule_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "fabric_url_scanner").select("row_id", "match_snippet").distinct()
+    s = _once(table(spark, sf_dir, "fabric_url_scanner").select("row_id", "match_snippet"), "row_id")
     return rule_hits(s, "row_id", "match_snippet", _PORTABLE).groupBy("rule").agg(F.sum("hits").alias("hits"), F.count("*").alias("documents"))
 
 
@@ -179,7 +184,7 @@ def patched_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def definition_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Connections that the notebook sources name, with their direction."""
-    return definition_details(table(spark, sf_dir, "notebook_sources").select("source_id", "source_text").distinct(), "source_id", "source_text")
+    return definition_details(_once(table(spark, sf_dir, "notebook_sources").select("source_id", "source_text"), "source_id"), "source_id", "source_text")
 
 
 def flow_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
