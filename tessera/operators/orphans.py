@@ -49,17 +49,18 @@ def orphan_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
     ``missing``: no target has the id; ``late``: every target begins later;
     ``deleted``: a target began before and was gone.  A NULL ref_id is no
     reference; with NULL ref_at only ``missing`` is possible.  ``parents`` has
-    id, lo, hi as from ``lifetimes``; when it is empty, every reference is missing.
+    id, lo, hi as from ``lifetimes``; when it is empty, every reference is missing.  Other columns of
+    ``refs`` are carried along, whatever their names; only one called orphan_kind is replaced.
     The join picks broadcast or shuffle by the measured size of the runs;
     adaptive execution splits a hot id on the reference side.
     """
-    runs = key_runs(parents).withColumnsRenamed({c: f"run_{c}" for c in ("id", "lo", "hi", "next_lo")})
-    known = refs.where(F.col("ref_id").isNotNull()).withColumn("key_at", F.coalesce(F.unix_micros("ref_at"), F.lit(LOWEST)))
-    on = (F.col("ref_id") == F.col("run_id")) & (F.col("run_lo") <= F.col("key_at")) & ((F.col("key_at") < F.col("run_next_lo")) | (F.col("key_at") == HIGHEST))
+    runs = key_runs(parents).withColumnsRenamed({c: f"__run_{c}" for c in ("id", "lo", "hi", "next_lo", "too_early")})
+    known = refs.drop("orphan_kind").where(F.col("ref_id").isNotNull()).withColumn("__at", F.coalesce(F.unix_micros("ref_at"), F.lit(LOWEST)))
+    on = (F.col("ref_id") == F.col("__run_id")) & (F.col("__run_lo") <= F.col("__at")) & ((F.col("__at") < F.col("__run_next_lo")) | (F.col("__at") == HIGHEST))
     kind = (
-        F.when(F.col("run_id").isNull(), "missing")
+        F.when(F.col("__run_id").isNull(), "missing")
         .when(F.col("ref_at").isNull(), None)
-        .when(F.col("too_early"), "late")
-        .when(F.col("key_at") > F.col("run_hi"), "deleted")
+        .when(F.col("__run_too_early"), "late")
+        .when(F.col("__at") > F.col("__run_hi"), "deleted")
     )
-    return known.join(runs, on, "left").withColumn("orphan_kind", kind).where("orphan_kind IS NOT NULL").drop("run_id", "run_lo", "run_hi", "run_next_lo", "too_early", "key_at")
+    return known.join(runs, on, "left").withColumn("orphan_kind", kind).where("orphan_kind IS NOT NULL").select(*[c for c in refs.columns if c != "orphan_kind"], "orphan_kind")

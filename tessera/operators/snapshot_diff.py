@@ -156,26 +156,27 @@ def snapshot_changes(df: DataFrame, run: Column, key: dict[str, Column], values:
     run_label (the later snapshot), the key, change_kind, and with
     ``with_values`` old_* and new_* of each value.  The first snapshot has no
     changes; an empty table gives no rows; a NULL value compares equal to NULL.
-    A key that is missing in between comes as removed and, later, as added.
+    A key that is missing in between comes as removed and, later, as added.  Rows with a NULL label or key
+    don't take part; columns that no expression names are ignored.
     """
     compact = compact_snapshots(df, run, list(key.values()), list(values.values()), read_at)
-    changes = changed_keys(compact)
+    changes = changed_keys(compact).withColumnsRenamed({"run_label": "__run", "key": "__key", "change_kind": "__kind"})
     whole = F.concat_ws("\u001f", *[k.cast("string") for k in key.values()])
-    names = df.select(F.unhex(F.md5(whole)).alias("key"), *[k.alias(f"k_{n}") for n, k in key.items()], *([v.alias(f"v_{n}") for n, v in values.items()] if with_values else []), *([run.alias("r_"), read_at.alias("t_"), F.xxhash64(*values.values()).alias("h_")] if with_values else []))
+    shown = [F.col("__run").alias("run_label"), *[F.col(f"__k_{n}").alias(n) for n in key], F.col("__kind").alias("change_kind")]
+    keys = [k.alias(f"__k_{n}") for n, k in key.items()]
     if not with_values:
-        names = names.join(changes.select("key"), "key", "left_semi").groupBy("key").agg(*[F.first(f"k_{n}").alias(n) for n in key])
-        return changes.join(names, "key").select("run_label", *key, "change_kind")
-    read = names.join(changes.select("key"), "key", "left_semi").groupBy("key", "r_").agg(F.max(F.struct("t_", "h_", *[f"v_{n}" for n in values])).alias("v"), *[F.first(f"k_{n}").alias(n) for n in key])
-    labels = compact.select("run_label").distinct().withColumn("before", F.lag("run_label").over(_by_label()))
-    both = changes.join(F.broadcast(labels), "run_label")  # labels are bounded by MAX_SNAPSHOTS
-    new, old = read.alias("new"), read.alias("old")
-    joined = both.join(new, (F.col("new.key") == both["key"]) & (F.col("new.r_") == both["run_label"]), "left").join(old, (F.col("old.key") == both["key"]) & (F.col("old.r_") == both["before"]), "left")
-    return joined.select(
-        "run_label",
-        *[F.coalesce(F.col(f"new.{n}"), F.col(f"old.{n}")).alias(n) for n in key],
-        "change_kind",
-        *[F.col(f"old.v.v_{n}").alias(f"old_{n}") for n in values],
-        *[F.col(f"new.v.v_{n}").alias(f"new_{n}") for n in values],
+        names = df.select(F.unhex(F.md5(whole)).alias("__key"), *keys).join(changes.select("__key"), "__key", "left_semi")
+        return changes.join(names.groupBy("__key").agg(*[F.min(f"__k_{n}").alias(f"__k_{n}") for n in key]), "__key").select(*shown)
+    # the same reading holds as in the compact form: the latest, and of equal ones the largest row hash
+    read = df.select(F.unhex(F.md5(whole)).alias("__key"), run.alias("__run"), F.struct(read_at.alias("t"), F.xxhash64(*values.values()).alias("h"), *[v.alias(f"v_{n}") for n, v in values.items()], *[k.alias(f"k_{n}") for n, k in key.items()]).alias("__row"))
+    read = read.join(changes.select("__key"), "__key", "left_semi").groupBy("__key", "__run").agg(F.max("__row").alias("__row"))
+    labels = compact.select("run_label").distinct().select(F.col("run_label").alias("__run"), F.lag("run_label").over(_by_label()).alias("__before"))
+    both = changes.join(F.broadcast(labels), "__run")  # labels are bounded by MAX_SNAPSHOTS
+    new = read.select(F.col("__key"), F.col("__run"), F.col("__row").alias("__new"))
+    old = read.select(F.col("__key"), F.col("__run").alias("__before"), F.col("__row").alias("__old"))
+    joined = both.join(new, ["__key", "__run"], "left").join(old, ["__key", "__before"], "left")
+    return joined.select(*[F.coalesce(F.col("__new")[f"k_{n}"], F.col("__old")[f"k_{n}"]).alias(f"__k_{n}") for n in key], "__run", "__kind", "__old", "__new").select(
+        *shown, *[F.col("__old")[f"v_{n}"].alias(f"old_{n}") for n in values], *[F.col("__new")[f"v_{n}"].alias(f"new_{n}") for n in values]
     )
 
 
