@@ -91,12 +91,13 @@ def mix(docs: DataFrame, plan: dict[str, tuple[int, float]], seed: int = 0) -> D
     ``docs`` has id, source, tokens and weight (inclusion is proportional to
     it within a source; equal weights give every document the same chance).  ``plan`` gives each source
     its certain whole copies and the tokens to draw beyond them.
-    Documents of other sources and those without tokens get 0 copies.
+    Documents of other sources (a NULL one included) and those without tokens get 0 copies;
+    an empty table gives no rows; columns other than the four are ignored.
     """
     spark = docs.sparkSession
     steps = F.broadcast(spark.createDataFrame([(s, c, float(t)) for s, (c, t) in plan.items()], "source string, certain int, draw double"))  # at most MAX_SOURCES rows
-    known = docs.join(steps, "source", "left")
-    scale = F.broadcast(known.groupBy("source").agg(F.sum(F.col("weight") * F.col("tokens")).alias("mass")))  # one row per source
+    known = docs.select("id", "source", "tokens", "weight").join(steps, "source", "left")
+    scale = F.broadcast(known.where("draw > 0").groupBy("source").agg(F.sum(F.col("weight") * F.col("tokens")).alias("mass")))  # one row per source
     u = (F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 11).cast("double") + 0.5) / F.lit(float(2**53))
     p = F.least(F.col("draw") * F.col("weight") / F.col("mass"), F.lit(1 - 1e-9))
     odds = (u / (1 - u)) * ((1 - p) / p)

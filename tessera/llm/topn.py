@@ -17,42 +17,53 @@ from tessera.functions.ids import canonical_id
 from tessera.session import table
 
 
+def _fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def _latest(df: DataFrame, group: str, item: Sequence[str], version: str) -> DataFrame:
     """The latest version of every item; of equal versions the row with the largest remaining values."""
     rest = [c for c in df.columns if c not in (group, *item, version)]
-    best = F.max(F.struct(version, *rest)).alias("_best")
-    return df.groupBy(group, *item).agg(best).select(group, *item, *[F.col("_best")[c].alias(c) for c in (version, *rest)])
+    (best,) = _fresh(df, "best")
+    newest = F.max(F.struct(*[F.col(c).alias(f"f{i}") for i, c in enumerate([version, *rest])])).alias(best)
+    return df.groupBy(group, *item).agg(newest).select(group, *item, *[F.col(best)[f"f{i}"].alias(c) for i, c in enumerate([version, *rest])])
 
 
-def _ranked(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
-    return df.withColumn("rank_no", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank_no") <= n)
+def _ranked(df: DataFrame, rank: str, by: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
+    return df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(rank) <= n)
 
 
 def top_n_per_group(df: DataFrame, group: str, order: Sequence[Column], n: int, item: Sequence[str] | None = None, version: str | None = None, heavy: int = 100_000) -> DataFrame:
     """The first ``n`` rows of every group by ``order``, with rank_no from 1.
 
-    ``order`` must end in a unique key within the group, else ties are broken
-    by the remaining columns' hash.  With ``item`` and ``version`` only the
-    latest version of each item takes part.  Rows with a NULL group don't take part; groups smaller
-    than ``n`` come whole; an empty table gives no rows.  ``heavy`` is the row
-    count from which a group is sorted by ranges; it changes the plan, never the result.
+    Ties left by ``order`` are broken by the hash of all columns, so rows that are equal in every column are all that can
+    change places.  With ``item`` and ``version`` only the latest version of each item takes part (of equal ones the row
+    with the largest remaining values; a NULL version is the oldest).  Rows with a NULL group don't take part; groups smaller than
+    ``n`` come whole; an empty table gives no rows.  Other columns are carried along, whatever their names; only one called rank_no
+    is replaced.  ``heavy`` is the row count from which a group is sorted by ranges; it changes the plan, never the result.
     """
-    if {"rank_no", "_n", "_salt", "_range", "_best"} & set(df.columns):
-        raise ValueError("rank_no, _n, _salt, _range and _best are names of this operator")
+    df = df.drop("rank_no")
+    count, salt, place, rank = _fresh(df, "count", "salt", "place", "rank")
     rows = df.where(F.col(group).isNotNull())
     # rows before versions are dropped: an upper bound of the group's size, so a light group is surely light
-    hot = rows.groupBy(group).agg(F.count("*").alias("_n")).where(F.col("_n") > heavy)
-    split = rows.join(hot, group, "left")
-    light = split.where(F.col("_n").isNull()).drop("_n").repartition(group)
-    hard = split.where(F.col("_n").isNotNull()).drop("_n")
+    hot = rows.groupBy(group).agg(F.count("*").alias(count)).where(F.col(count) > heavy)
+    split = rows.join(hot, group, "left").select(*rows.columns, count)
+    light = split.where(F.col(count).isNull()).drop(count).repartition(group)
+    hard = split.where(F.col(count).isNotNull()).drop(count)
     if version:
         light, hard = _latest(light, group, item, version), _latest(hard, group, item, version)
-    tie = F.xxhash64(*[c for c in rows.columns if c != group])
-    order = [*order, tie]
-    salted = hard.withColumn("_salt", F.xxhash64(F.struct(*[c for c in hard.columns if c != group])))
-    ranges = salted.repartitionByRange(F.col(group), *order, F.col("_salt")).drop("_salt")
-    firsts = _ranked(ranges.withColumn("_range", F.spark_partition_id()), (group, "_range"), order, n).drop("rank_no", "_range")
-    return _ranked(light, (group,), order, n).unionByName(_ranked(firsts, (group,), order, n))
+    order = [*order, F.xxhash64(*[c for c in rows.columns if c != group])] if len(rows.columns) > 1 else list(order)
+    ranges = hard.withColumn(salt, F.xxhash64(*hard.columns)).repartitionByRange(F.col(group), *order, F.col(salt)).drop(salt)
+    firsts = _ranked(ranges.withColumn(place, F.spark_partition_id()), rank, (group, place), order, n).drop(rank, place)
+    return _ranked(light, rank, (group,), order, n).unionByName(_ranked(firsts, rank, (group,), order, n)).withColumnRenamed(rank, "rank_no").select(*df.columns, "rank_no")
 
 
 def _scored(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
