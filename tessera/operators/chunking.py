@@ -58,9 +58,9 @@ def pack(cells: Iterable[str], most: int = 14_000, least: int = 0) -> list[str]:
 
 
 def chunk_documents(df: DataFrame, key: str, path: str, content: str, most: int = 14_000, least: int = 0) -> DataFrame:
-    """One row per chunk of each document's code: content_length, content_hash, chunk_index, chunk_count, chunk_text.
+    """One row per chunk of each document's code (of a text without cells, all of it): content_length, content_hash, chunk_index, chunk_count, chunk_text.
 
-    Documents without code give no rows; columns other than the three named ones are left out.
+    Documents without any give no rows; columns other than the three named ones are left out.
     """
     kind = dict(df.dtypes)[key]
     schema = f"`{key}` {kind}, content_length long, content_hash string, chunk_index int, chunk_count int, chunk_text string"
