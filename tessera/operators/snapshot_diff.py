@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import checkpoint_dir
+
 #: More labels than this are refused, as they are listed on the driver.
 MAX_SNAPSHOTS = 100_000
 KIND = {0: "added", 1: "removed", 2: "changed"}
@@ -116,6 +118,13 @@ def _compare(n_runs: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.Data
     return run
 
 
+def _known(df: DataFrame, run: Column, key: Sequence[Column]) -> DataFrame:
+    known = run.isNotNull()
+    for k in key:
+        known = known & k.isNotNull()
+    return df.where(known)
+
+
 def compact_snapshots(df: DataFrame, run: Column, key: Sequence[Column], values: Sequence[Column], read_at: Column) -> DataFrame:
     """One row per snapshot and key: run_label, key (16 bytes), row_hash of the reading with the latest ``read_at``.
 
@@ -125,19 +134,21 @@ def compact_snapshots(df: DataFrame, run: Column, key: Sequence[Column], values:
     very often stays cheap.
     """
     whole = F.concat_ws("\u001f", *[k.cast("string") for k in key])
-    known = run.isNotNull()
-    for k in key:
-        known = known & k.isNotNull()
-    rows = df.where(known).select(run.alias("run_label"), F.unhex(F.md5(whole)).alias("key"), F.struct(read_at.alias("t"), F.xxhash64(*values).alias("h")).alias("v"))
+    rows = _known(df, run, key).select(run.alias("run_label"), F.unhex(F.md5(whole)).alias("key"), F.struct(read_at.alias("t"), F.xxhash64(*values).alias("h")).alias("v"))
     return rows.groupBy("run_label", "key").agg(F.max("v")["h"].alias("row_hash"))
 
 
-def changed_keys(compact: DataFrame, buckets_per_task: int = 16) -> DataFrame:
+def labels_of(df: DataFrame, run: Column, key: Sequence[Column]) -> list[str]:
+    """The labels of the snapshots in order; at most MAX_SNAPSHOTS of them come to the driver."""
+    found = _known(df, run, key).select(run.alias("run_label")).distinct().limit(MAX_SNAPSHOTS + 1).collect()
+    if len(found) > MAX_SNAPSHOTS:
+        raise ValueError(f"more than {MAX_SNAPSHOTS} snapshots; split the table by label first")
+    return sorted(r[0] for r in found)
+
+
+def changed_keys(compact: DataFrame, labels: list[str], buckets_per_task: int = 16) -> DataFrame:
     """run_label, key and change_kind of the keys that differ between each label and the one before."""
     spark = compact.sparkSession
-    labels = sorted(r[0] for r in compact.select("run_label").distinct().limit(MAX_SNAPSHOTS + 1).collect())
-    if len(labels) > MAX_SNAPSHOTS:
-        raise ValueError(f"more than {MAX_SNAPSHOTS} snapshots; split the table by label first")
     if not labels:
         return spark.createDataFrame([], "run_label string, key binary, change_kind string")
     numbers = F.broadcast(spark.createDataFrame(list(enumerate(labels)), "run int, run_label string"))  # at most MAX_SNAPSHOTS rows
@@ -160,7 +171,10 @@ def snapshot_changes(df: DataFrame, run: Column, key: dict[str, Column], values:
     don't take part; columns that no expression names are ignored.
     """
     compact = compact_snapshots(df, run, list(key.values()), list(values.values()), read_at)
-    changes = changed_keys(compact).withColumnsRenamed({"run_label": "__run", "key": "__key", "change_kind": "__kind"})
+    labels = labels_of(df, run, list(key.values()))
+    checkpoint_dir(df.sparkSession)
+    # both joins below read the differing keys, which are few; kept, they are compared once
+    changes = changed_keys(compact, labels).withColumnsRenamed({"run_label": "__run", "key": "__key", "change_kind": "__kind"}).checkpoint()
     whole = F.concat_ws("\u001f", *[k.cast("string") for k in key.values()])
     shown = [F.col("__run").alias("run_label"), *[F.col(f"__k_{n}").alias(n) for n in key], F.col("__kind").alias("change_kind")]
     keys = [k.alias(f"__k_{n}") for n, k in key.items()]
@@ -170,17 +184,11 @@ def snapshot_changes(df: DataFrame, run: Column, key: dict[str, Column], values:
     # the same reading holds as in the compact form: the latest, and of equal ones the largest row hash
     read = df.select(F.unhex(F.md5(whole)).alias("__key"), run.alias("__run"), F.struct(read_at.alias("t"), F.xxhash64(*values.values()).alias("h"), *[v.alias(f"v_{n}") for n, v in values.items()], *[k.alias(f"k_{n}") for n, k in key.items()]).alias("__row"))
     read = read.join(changes.select("__key"), "__key", "left_semi").groupBy("__key", "__run").agg(F.max("__row").alias("__row"))
-    labels = compact.select("run_label").distinct().select(F.col("run_label").alias("__run"), F.lag("run_label").over(_by_label()).alias("__before"))
-    both = changes.join(F.broadcast(labels), "__run")  # labels are bounded by MAX_SNAPSHOTS
+    order = F.broadcast(df.sparkSession.createDataFrame(list(zip(labels, [None, *labels])), "__run string, __before string"))  # at most MAX_SNAPSHOTS rows
+    both = changes.join(order, "__run")
     new = read.select(F.col("__key"), F.col("__run"), F.col("__row").alias("__new"))
     old = read.select(F.col("__key"), F.col("__run").alias("__before"), F.col("__row").alias("__old"))
     joined = both.join(new, ["__key", "__run"], "left").join(old, ["__key", "__before"], "left")
     return joined.select(*[F.coalesce(F.col("__new")[f"k_{n}"], F.col("__old")[f"k_{n}"]).alias(f"__k_{n}") for n in key], "__run", "__kind", "__old", "__new").select(
         *shown, *[F.col("__old")[f"v_{n}"].alias(f"old_{n}") for n in values], *[F.col("__new")[f"v_{n}"].alias(f"new_{n}") for n in values]
     )
-
-
-def _by_label():
-    from pyspark.sql import Window
-
-    return Window.orderBy("run_label")
