@@ -211,8 +211,8 @@ def _counts(value: str, strength: int, before: str, words: Dictionary) -> bool:
             return len(v) >= 16 and not v.isdigit()
         if left >= 12 and (any(c.isdigit() for c in v) or left >= 20):
             return True
-        # words with a number, as people choose them, under the name of a secret
-        return len(v) >= 10 and bool(re.search(r"(?i)secret\W*$", before)) and any(c.isdigit() for c in v)
+        # under the name of a secret: what people choose as passwords, words with a number or a mark, or no words at all
+        return len(v) >= 10 and bool(re.search(r"(?i)secret\W*$", before)) and (left >= 10 or any(c.isdigit() or c in "!#$%&*+@^~" for c in v))
     if _HEX.match(v) and len(v) in _HASHES or "://" in v or v.startswith("data:"):
         return False
     return len(v) >= 20 and left >= 16 and left >= 0.7 * sum(c.isalnum() for c in v) and _mixed(v)

@@ -32,6 +32,7 @@ SECRETS = [
     (f"machine h.example login loader password {PASS}", PASS),
     (f"$sec = ConvertTo-SecureString '{KEY}' -AsPlainText -Force", KEY),
     (f"login('ops', \"{PASS}\")", PASS),
+    ("Credential('etl', secret=\"LcJgDRTvzaO$mcRH\")", "LcJgDRTvzaO$mcRH"),
     (f'auth=("ci", """{KEY}""")', KEY),
     (f"aws = (\"AKIA{'A1' * 8}\", \"{drawn(40)}\")", None),
     (f'headers = {{"Authorization": "Bearer {KEY}"}}', KEY),
