@@ -21,7 +21,9 @@ from tessera.session import table
 
 LEVELS = ("document", "cell", "paragraph", "line")
 _JSON_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\]]', re.S)
-_CELL_MARK = re.compile(r"^(?:# (?:CELL|MARKDOWN|METADATA|PARAMETERS CELL|COMMAND)\b|# ?%%|#{1,6} (?=\S))", re.M)
+_CELL_MARK = re.compile(r"^(?:# (?:CELL|MARKDOWN|METADATA|PARAMETERS CELL|COMMAND)\b|# ?%%)", re.M)
+#: Headings stand after a blank line; a comment within code doesn't.
+_HEADING = re.compile(r"(?:\A|\n[ \t\r]*\n)(?=#{1,6} \S)")
 _PARAGRAPH = re.compile(r"(?:\r?\n[ \t]*){2,}|\r(?!\n)[ \t]*\r(?!\n)")
 _LINE = re.compile(r"\r\n|\n|\r")
 # in JSON the source's own line ends are escaped; an escaped backslash before n is none
@@ -71,7 +73,7 @@ class Tree:
     def children(self, node: Node) -> list[Node]:
         t, level = self.text, node.level + 1
         if LEVELS[level] == "cell":
-            marks = _json_cells(t) if self.json else [m.start() for m in _CELL_MARK.finditer(t)]
+            marks = _json_cells(t) if self.json else [m.start() for m in _CELL_MARK.finditer(t)] or [m.end() for m in _HEADING.finditer(t)]
             return _cut(node, marks, level)
         if LEVELS[level] == "paragraph":
             return _cut(node, [m.end() for m in (_JSON_PARAGRAPH if self.json else _PARAGRAPH).finditer(t, node.start, node.end)], level)
