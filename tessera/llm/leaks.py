@@ -127,6 +127,7 @@ class Index:
         self.vocabulary = Vocabulary(known)
         self.ids = np.concatenate(parts) if parts else np.zeros(0, np.int64)
         self.starts, self.owner = np.array(starts, np.int64), np.array(owner, np.int64)
+        self.first = self.ids[self.starts] if len(self.starts) else np.zeros(0, np.int64)
         self.walks = Walks(s, len(known))
         self.tables = []
         for w in range(s.walks if len(starts) else 0):
@@ -159,8 +160,8 @@ class Index:
         return starts[total[upto] - total[starts] >= s.size - 2 - 3 * s.errors]
 
     def meetings(self, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct (document window, item window) pairs that share a key of any walk."""
-        pairs = []
+        """Distinct (document window, item window) pairs that share a key of any walk and begin with the same word, as a verified pair must."""
+        pairs, first = [], ids[starts]
         for w, (keys, order) in enumerate(self.tables):
             mine = self.walks.keys(ids, starts, w)
             lo, hi = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
@@ -168,10 +169,13 @@ class Index:
             if n.any():
                 doc = np.repeat(np.arange(len(starts)), n)
                 within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                pairs.append(doc * len(self.starts) + order[np.repeat(lo, n) + within])
+                window = order[np.repeat(lo, n) + within]
+                same = first[doc] == self.first[window]
+                pairs.append(doc[same] * len(self.starts) + window[same])
         if not pairs:
             return np.empty(0, np.int64), np.empty(0, np.int64)
-        both = np.unique(np.concatenate(pairs))
+        both = np.sort(np.concatenate(pairs))
+        both = both[np.append(True, both[1:] != both[:-1])] if len(both) else both
         return starts[both // len(self.starts)], both % len(self.starts)
 
     def search(self, texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -195,8 +199,6 @@ class Index:
         if not len(starts) or not self.tables:
             return []
         at, window = self.meetings(ids, starts)
-        equal = self.ids[self.starts[window]] == ids[at]
-        at, window = at[equal], window[equal]
         ok = similar(self.ids, self.starts[window], ids, at, self.s.size, self.s.errors)
         docs = np.searchsorted(firsts, at[ok], "right") - 1
         return sorted({(int(d), self.item[int(o)]) for d, o in zip(docs, self.owner[window[ok]])})
