@@ -172,12 +172,12 @@ def pairs():
 
 @pytest.mark.parametrize("kind", KINDS)
 def test_not_prose(pairs, kind):
-    assert q.statistics(KINDS[kind], pairs, frozenset())[8] < 0.5
+    assert q.shares(q.label_lines(KINDS[kind], pairs))[1] < 0.5
 
 
 @pytest.mark.parametrize("text", [PROSE[0], WRAPPED, PROSE[1].lower().replace(".", ""), "> " + WRAPPED.replace("\n", "\n> "), "**" + PROSE[2].replace(" ", "&nbsp;", 3) + "**", PROSE[3] + "\n\n- one\n- two"])
 def test_prose(pairs, text):
-    assert q.statistics(text, pairs, frozenset())[8] > 0.5
+    assert q.shares(q.label_lines(text, pairs))[1] > 0.5
 
 
 def test_statistics_of_a_text(spark):
