@@ -38,6 +38,36 @@ def parse_answers(df: DataFrame) -> DataFrame:
     )
 
 
+Scorer = Callable[[DataFrame], DataFrame]
+
+
+def score(chunks: DataFrame, scorer: Scorer, folder: str, most_per_document: int | None = None, most: int | None = None) -> DataFrame:
+    """Chunks with the answers of a scorer, parsed.
+
+    The scorer gets chunk_number and file_name beside the chunks and adds ai_response and ai_error.  Answers are written to
+    ``folder`` and read again, so no later step asks the scorer twice.  ``most_per_document`` leaves out later chunks
+    (chunk_count stays); more chunks than ``most`` are an error before anything is asked.
+    """
+    if most_per_document is not None:
+        chunks = chunks.where(F.col("chunk_index") < most_per_document)
+    if most is not None and chunks.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} chunks")
+    asked = scorer(chunks.withColumns({"chunk_number": F.col("chunk_index") + 1, "file_name": F.col("display_name")})).drop("chunk_number", "file_name")
+    asked.write.mode("overwrite").parquet(folder)
+    return parse_answers(chunks.sparkSession.read.parquet(folder))
+
+
+def length_scorer(chunks: DataFrame) -> DataFrame:
+    """A scorer that needs no service: scores by the text's length and its addresses; for tests and dry runs."""
+    answer = F.to_json(F.struct(F.least(F.length("chunk_text"), F.lit(100)).alias("external_resource_access_score"), F.regexp_count("chunk_text", F.lit("://")).alias("exfiltration_risk_score"), F.lit("by length").alias("rationale")))
+    return chunks.withColumns({"ai_response": answer, "ai_error": F.lit(None).cast("string")})
+
+
+def stamped(df: DataFrame, auditor: str, prompt: str, run: str, at: Column | None = None) -> DataFrame:
+    """The frame with where its scores come from."""
+    return df.withColumns({"auditor_version": F.lit(auditor), "prompt_version": F.lit(prompt), "run_id": F.lit(run), "assessed_at": at if at is not None else F.current_timestamp()})
+
+
 DOCUMENT = (
     "workspace_id workspace_name source_lakehouse_id source_lakehouse_name source_dated_partition notebook_id display_name attached_lakehouse_id "
     "attached_lakehouse_name attached_lakehouse_workspace_id attached_lakehouse_workspace_name content_length content_hash"

@@ -77,6 +77,18 @@ def failures_by_provider(spark, sf_dir: str) -> DataFrame:
     return e.where("approve_status >= 400").groupBy("target_rp").agg(F.count("*").alias("failed"), F.min("approve_status").alias("first_status"))
 
 
+def pending(connections: DataFrame, body: str, marker: str | None) -> DataFrame:
+    """Connections (JSON) that wait for approval and whose description holds the marker; without a marker any description."""
+    state = "$.properties.privateLinkServiceConnectionState"
+    waiting = F.lower(F.get_json_object(body, f"{state}.status")) == "pending"
+    return connections.where(waiting & F.coalesce(F.get_json_object(body, f"{state}.description"), F.lit("")).contains(marker) if marker else waiting)
+
+
+def with_first(connections: DataFrame, candidates: DataFrame, target: str, order: list[str]) -> DataFrame:
+    """Each connection with the first candidate of its target."""
+    return connections.join(first_by_window(candidates, [target], order), target, "left")
+
+
 KEYS = ("workspace_id", "mpe_id")
 _FEW = ("workspace_id", "mpe_id", "collected_at", "provisioning_state", "connection_status", "run_label")
 
@@ -102,6 +114,9 @@ QUERIES = {
     "mpe_logical_keys": lambda s, d: _mpe(s, d).select(logical_key(F.col("workspace_id"), F.col("mpe_name")).alias("logical_key")).groupBy("logical_key").agg(F.count("*").alias("readings")),
     "mpe_listing": lambda s, d: _mpe(s, d).select("workspace_name", "mpe_name", *_FEW).distinct().orderBy("workspace_name", "mpe_name", "collected_at"),
     "mpe_run_times": lambda s, d: _mpe(s, d).groupBy("run_label").agg(run_label(F.min("collected_at")).alias("started"), run_label(F.max("collected_at")).alias("ended"), F.count("*").alias("readings")),
+    "mpe_pending": lambda s, d: pending(
+        _mpe(s, d).select("workspace_id", "mpe_id", "run_label", F.to_json(F.struct(F.struct(F.struct(F.col("connection_status").alias("status"), F.col("connection_description").alias("description")).alias("privateLinkServiceConnectionState")).alias("properties"))).alias("body")), "body", "ticket"
+    ).select("workspace_id", "mpe_id", "run_label"),
     "lifecycle_chain": lifecycle_chain,
     "recreate_failures": recreate_failures,
     "failures_by_provider": failures_by_provider,
@@ -124,6 +139,7 @@ ORACLE = {
     "mpe_logical_keys": f"SELECT translate(concat_ws('_', substring(workspace_id, 1, 8), mpe_name), '- ', '__') AS logical_key, count(*) AS readings FROM {T} GROUP BY 1",
     "mpe_listing": f"SELECT DISTINCT workspace_name, mpe_name, {_COLS} FROM {T}",
     "mpe_run_times": f"SELECT run_label, strftime(min(collected_at) AT TIME ZONE 'UTC', '%Y-%m-%d_%H-%M-%S') AS started, strftime(max(collected_at) AT TIME ZONE 'UTC', '%Y-%m-%d_%H-%M-%S') AS ended, count(*) AS readings FROM {T} GROUP BY 1",
+    "mpe_pending": f"SELECT workspace_id, mpe_id, run_label FROM {T} WHERE lower(connection_status) = 'pending' AND contains(connection_description, 'ticket')",
     "lifecycle_chain": f"""SELECT d.mpe_id, d.mpe_name, d.delete_status, r.new_mpe_id, r.created_at, r.create_status, l_linenumber AS attempt, l_shipdate AS approved_at, l_linestatus AS new_connection_state
         FROM {_D} d LEFT JOIN {_R} r ON r.original_mpe_id = d.mpe_id LEFT JOIN lineitem ON l_orderkey = r.new_mpe_id WHERE d.delete_status BETWEEN 200 AND 299""",
     "recreate_failures": f"SELECT * FROM {_R} WHERE create_status >= 400",

@@ -14,6 +14,7 @@ from tessera.functions.rule_catalogue import RULES
 from tessera.functions.severity import meets
 from tessera.operators.blocks import blocks
 from tessera.operators.chunking import chunk_documents
+from tessera.operators.first_generation import scan_texts
 from tessera.operators.latest import first_by_window, upsert
 from tessera.operators.scan import rule_hits, scan_documents
 from tessera.plans.findings import review_queue
@@ -187,6 +188,23 @@ def definition_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return definition_details(_once(table(spark, sf_dir, "notebook_sources").select("source_id", "source_text"), "source_id"), "source_id", "source_text")
 
 
+def first_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of the first generation's scan of every notebook source."""
+    s = _sources(spark, sf_dir).withColumn("kind", F.lit("code"))
+    return scan_texts(s, "source_id", "source_text", "kind")
+
+
+def fetch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of what was fetched; events stand for the fetched records."""
+    e = table(spark, sf_dir, "events").where("event_type <> 'error'")
+    k = F.get_json_object("props", "$.k").cast("int")
+    return e.agg(F.count("*").alias("fetched"), F.round(F.sum("value"), 4).alias("total_value"), F.sum(k).alias("total_k"), F.countDistinct("event_type").alias("kinds"), F.countDistinct("user_id").alias("users"))
+
+
+def instance_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").where("event_type <> 'error'").groupBy("user_id").agg(F.count("*").alias("n"))
+
+
 def flow_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "scan_results").select(tx.flow_direction(F.col("code_snippet")).alias("flow")).groupBy("flow").agg(F.count("*").alias("n"))
 
@@ -195,7 +213,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         rule_scan, scanned_queue, rule_totals, snippet_rule_totals, secret_by_source, chunks, block_extract, redacted_snippets, snippet_entropy, content_hashes, safe_names, destinations,
-        path_attribution, latest_dated, severity_threshold, item_targets, part_names, load_quantiles, load_summary, upserted, replaced_values, patched_payloads, definition_refs, flow_directions,
+        path_attribution, latest_dated, severity_threshold, item_targets, part_names, load_quantiles, load_summary, upserted, replaced_values, patched_payloads, definition_refs, flow_directions, first_scan, fetch_summary, instance_distribution,
     )
 }
 
@@ -213,6 +231,8 @@ _W = "SELECT workspace_id, workspace_name, capacity_id, last_seen FROM dim_works
 _GUID = "'^[0-9a-f]{8}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{12}$', 'i'"
 _FLOW = "regexp_matches(lower(coalesce(code_snippet, '')), '{0}')"
 ORACLE = {
+    "fetch_summary": "SELECT count(*) AS fetched, round(sum(value), 4) AS total_value, CAST(sum(CAST(json_extract_string(props, '$.k') AS INTEGER)) AS BIGINT) AS total_k, count(DISTINCT event_type) AS kinds, count(DISTINCT user_id) AS users FROM events WHERE event_type <> 'error'",
+    "instance_distribution": "SELECT user_id, count(*) AS n FROM events WHERE event_type <> 'error' GROUP BY 1",
     "rule_totals": _sql_rules("notebook_sources", "source_id", "source_text"),
     "snippet_rule_totals": _sql_rules("fabric_url_scanner", "row_id", "match_snippet"),
     "secret_by_source": f"SELECT source, count(*) AS documents FROM documents WHERE regexp_matches(text, '{_GENERIC}') GROUP BY 1",

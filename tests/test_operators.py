@@ -180,3 +180,60 @@ def test_facts_are_stable_and_validated(spark):
     assert a == b and len(a) == 1
     good, bad = split_valid(spark.createDataFrame([("1", "low"), ("2", "odd"), (None, "low")], "finding_id string, severity string"), "finding_id", {"odd severity": "severity IN ('low')"})
     assert good.count() == 1 and {tuple(r["failed"]) for r in bad.collect()} == {("odd severity",), ("finding_id is missing",)}
+
+
+def test_first_generation_scan(spark):
+    from tessera.operators.first_generation import SECRETS, closest, masked, scan_text
+
+    assert len(SECRETS) == 15 and masked("abc") == "***" and masked("a" * 12) == "aaaa****aaaa"
+    t = "spark.read.json('https://a.example/x')\nrequests.post('https://b.example/y')\nrequests.post('https://b.example/y')\nPassword=abcd1234;\n"
+    found = list(scan_text(t, "code"))
+    assert [(f[0], f[1]) for f in found if f[0]] == [("https://a.example/x", "read"), ("https://b.example/y", "write")]
+    assert {f[2] for f in found if f[1] == "unknown"} == {"SQL Password"} and sum(f[1] == "potential_write" for f in found) == 1
+    assert closest("x https://a", 2) == "unknown" and all(f[1] != "potential_write" for f in scan_text(t, "markdown"))
+
+
+def test_fan_out(spark):
+    from tessera.operators.fanout import call_all, call_statistics, outcomes
+
+    def f(a):
+        if a == "3":
+            raise ValueError("three")
+        return int(a) * 2
+
+    calls = spark.createDataFrame([("s" + str(i % 2), str(i)) for i in range(10)], "s string, a string")
+    done = call_all(calls, "s", "a", f, 2, 4)
+    good, bad = outcomes(done)
+    assert sorted(int(r["result"]) for r in good.collect()) == [0, 2, 4, 8, 10, 12, 14, 16, 18] and [r["error"] for r in bad.collect()] == ["ValueError: three"]
+    stats = {r["spoke"]: r for r in call_statistics(done).collect()}
+    assert stats["(all)"]["succeeded"] == 9 and stats["s1"]["failed"] == 1 and stats["s0"]["p50"] <= stats["s0"]["longest"]
+
+
+def test_scores_are_asked_once(spark, tmp_path):
+    from tessera.plans.audit import documents_of_chunks, length_scorer, parse_answers, score, stamped
+
+    cols = "workspace_id workspace_name source_lakehouse_id source_lakehouse_name source_dated_partition notebook_id display_name attached_lakehouse_id attached_lakehouse_name attached_lakehouse_workspace_id attached_lakehouse_workspace_name content_hash chunk_text".split()
+    row = lambda i, t: (*["x"] * 12, t, 9, i, 2)
+    c = spark.createDataFrame([row(0, "a" * 500), row(1, "see http://x")], ", ".join(f"{x} string" for x in cols) + ", content_length long, chunk_index int, chunk_count int")
+    got = stamped(score(c, length_scorer, str(tmp_path / "s"), 2, 5), "v", "p", "r").collect()
+    assert {(r["chunk_index"], r["external_resource_access_score"], r["exfiltration_risk_score"]) for r in got} == {(0, 100, 0), (1, 12, 1)} and got[0]["run_id"] == "r"
+    with pytest.raises(ValueError):
+        score(c, length_scorer, str(tmp_path / "t"), most=1)
+    one = documents_of_chunks(score(c, length_scorer, str(tmp_path / "u"))).collect()
+    assert len(one) == 1 and one[0]["exfiltration_risk_score"] == 1 and one[0]["chunks_parsed"] == 2
+    bad = parse_answers(spark.createDataFrame([("no json", None), ('{"external_resource_access_score":500,"exfiltration_risk_score":-20}', None), (None, "down")], "ai_response string, ai_error string")).collect()
+    assert bad[0]["ai_error"].startswith("parse_error") and (bad[1]["external_resource_access_score"], bad[1]["exfiltration_risk_score"]) == (100, 0) and bad[2]["sources"] == [] and bad[2]["ai_error"] == "down"
+
+
+def test_pending_and_first_candidate(spark):
+    from tessera.plans.endpoints import capped, matching, pending, with_first
+
+    body = '{"properties":{"privateLinkServiceConnectionState":{"status":"Pending","description":"run r1"}}}'
+    c = spark.createDataFrame([("t", body), ("t", body.replace("r1", "r2")), ("t", None), ("t", body.replace("Pending", "Approved"))], "target string, body string")
+    assert pending(c, "body", "r1").count() == 1 and pending(c, "body", None).count() == 2
+    cand = spark.createDataFrame([("t", 2), ("t", 1)], "target string, n int")
+    assert {r["n"] for r in with_first(c, cand, "target", ["n"]).collect()} == {1}
+    m = spark.createDataFrame([("a", "pe-1", None), ("b", None, "/x/")], "mpe_id string, mpe_name string, target_resource_id string")
+    assert matching(m, name="^$").count() == 1 and matching(m, ids=["a"], target="").count() == 1 and matching(m).count() == 2
+    with pytest.raises(ValueError):
+        capped(m, 1)
