@@ -137,9 +137,10 @@ def test_viterbi_against_all_paths():
     draw = np.random.default_rng(1)
     for n in (1, 2, 5):
         scores = [tuple(r) for r in draw.normal(0, 3, (n, 4)).tolist()]
-        value = lambda p: sum(scores[i][k] for i, k in enumerate(p)) + sum(q.STAY if a == b else q.MOVE for a, b in zip(p, p[1:]))  # noqa: E731, B023
+        m = q.Model()
+        value = lambda p: sum(scores[i][k] for i, k in enumerate(p)) + sum(m.stay if a == b else m.move for a, b in zip(p, p[1:]))  # noqa: E731, B023
         best = max(itertools.product(range(4), repeat=n), key=value)
-        assert value(q.viterbi(scores)) == pytest.approx(value(best))
+        assert value(m.viterbi(scores)) == pytest.approx(value(best))
 
 
 SUBJECTS, VERBS, OBJECTS, ENDS = ("auditor", "pipeline", "report", "vault"), ("checked", "moved", "copied"), ("ledger", "quota", "archive"), ("after the review", "without any warning", "near the limit")
@@ -170,14 +171,28 @@ def pairs():
     return q.Pairs.of((a, b, n) for (a, b), n in counts.items())
 
 
+@pytest.fixture(scope="module", params=["first guess", "trained"])
+def model(request, pairs):
+    texts = [*PROSE, WRAPPED, *KINDS.values()] * 3
+    return q.Model().trained([q.symbols(q.lines_of(t)[1], pairs) for t in texts]) if request.param == "trained" else q.Model()
+
+
+def test_training_keeps_labels_and_weights_are_probabilities(pairs):
+    m = q.Model().trained([q.symbols(q.lines_of(t)[1], pairs) for t in PROSE], 2)
+    for group in m.emit:
+        if not set(group) & set(q.FIXED):
+            assert all(sum(np.exp(w[k]) for w in group.values()) == pytest.approx(1) for k in range(4))
+    assert q.Model().trained([]).emit and m.__reduce__()[0](*m.__reduce__()[1]).emit == m.emit
+
+
 @pytest.mark.parametrize("kind", KINDS)
-def test_not_prose(pairs, kind):
-    assert q.shares(q.label_lines(KINDS[kind], pairs))[1] < 0.5
+def test_not_prose(pairs, model, kind):
+    assert q.shares(q.label_lines(KINDS[kind], pairs, model))[1] < 0.5
 
 
 @pytest.mark.parametrize("text", [PROSE[0], WRAPPED, PROSE[1].lower().replace(".", ""), "> " + WRAPPED.replace("\n", "\n> "), "**" + PROSE[2].replace(" ", "&nbsp;", 3) + "**", PROSE[3] + "\n\n- one\n- two"])
-def test_prose(pairs, text):
-    assert q.shares(q.label_lines(text, pairs))[1] > 0.5
+def test_prose(pairs, model, text):
+    assert q.shares(q.label_lines(text, pairs, model))[1] > 0.5
 
 
 def test_statistics_of_a_text(spark):
