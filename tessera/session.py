@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,9 +36,26 @@ def guard_unions(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.unionOutputPartitioning", "false")
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once a context, where they couldn't import it otherwise.
+
+    Workers find it by themselves when the driver runs in the package's folder or names it in PYTHONPATH.
+    """
+    root, app = Path(__file__).resolve().parent.parent, spark.sparkContext.applicationId
+    known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    if app in _shipped or any(p and Path(p).resolve() == root for p in known):
+        return
+    _shipped.add(app)
+    spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="tessera-"), "tessera"), "zip", root, "tessera"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder (a parquet file or a folder of them)."""
     guard_unions(spark)
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
