@@ -5,6 +5,9 @@ import sys
 from pathlib import Path
 
 import duckdb
+import pyarrow as pa
+import pyarrow.dataset as ds
+import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__ as entry
@@ -28,6 +31,17 @@ def test_query_equals_its_sql(spark, con, small, name):
     assert sorted(got.columns) == sorted(want.columns) and shown(got) == shown(want)
 
 
+@pytest.mark.parametrize("rows, blanks", [(0, 0), (20, 15)])
+def test_every_query_on_odd_tables(spark, small, tmp_path, rows, blanks):
+    """Empty tables, and tables of which many rows are NULL in every column."""
+    for p in Path(small).iterdir():
+        t = ds.dataset(p).to_table().slice(0, rows)
+        t = pa.concat_tables([t, pa.table({c: pa.nulls(blanks, t.schema.field(c).type) for c in t.column_names})])
+        pq.write_table(t, tmp_path / p.name)
+    for name, q in entry.queries().items():
+        assert q(spark, str(tmp_path)).count() >= 0, name
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.count() > 0 and "status" in df.columns
