@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.quantiles import exclusive_quantiles
+from tessera.session import checkpoint_dir
 
 
 def call_all(calls: DataFrame, spoke: str, argument: str, function: Callable[[str], object], spokes: int, threads: int = 16) -> DataFrame:
     """One row per call: spoke, argument, ok, result, error, seconds.
 
-    Each task keeps ``threads`` calls going; a failed call is a row, not a failed task.
+    Each task keeps ``threads`` calls going; a failed call is a row, not a failed task.  The rows are kept, so
+    nothing that reads them calls again.
     """
 
     def one(a: str) -> tuple[bool, str | None, str | None, float]:
@@ -34,7 +36,8 @@ def call_all(calls: DataFrame, spoke: str, argument: str, function: Callable[[st
                 yield pd.concat([pdf.reset_index(drop=True), out], axis=1)
 
     named = calls.select(F.col(spoke).cast("string").alias("spoke"), F.col(argument).cast("string").alias("argument"))
-    return named.repartition(spokes).mapInPandas(run, "spoke string, argument string, ok boolean, result string, error string, seconds double")
+    checkpoint_dir(calls.sparkSession)
+    return named.repartition(spokes).mapInPandas(run, "spoke string, argument string, ok boolean, result string, error string, seconds double").checkpoint()
 
 
 def call_statistics(done: DataFrame) -> DataFrame:
