@@ -4,7 +4,7 @@ Every line gets one of four labels (prose, list, table, junk) from a hidden
 Markov model over line statistics: the labels are the hidden states, a line's
 statistics are its symbols, and the best label sequence of a document
 is found by Viterbi.  Whether words stand in a plausible order is told by word
-pairs counted in well-formed sentences of a bounded sample of the documents.
+pairs counted in the well-formed sentences of all documents.
 """
 
 from __future__ import annotations
@@ -24,10 +24,8 @@ from tessera.llm.words import plain
 from tessera.session import table
 
 LABELS = ("prose", "list", "table", "junk")
-#: Documents (about as many) whose sentences teach the word pairs, chosen by the hash of their id.
-SAMPLE_DOCUMENTS = 20_000
-#: Most frequent pairs kept.
-MOST_PAIRS = 400_000
+#: Documents up to which a pair is known from 2 and a word familiar from 4 occurrences; in a larger table both numbers grow with it.
+PLAIN_DOCUMENTS = 20_000
 
 _BULLET = re.compile(r"\s*(?:[-*•‣◦]|\d{1,3}[.)]|\[[ xX]\])\s+")
 _STAMP = re.compile(r"\s*\[?(?:\d{4}-\d\d-\d\d[T ]?|\d\d:\d\d:\d\d)")
@@ -112,16 +110,19 @@ class Pairs:
     @staticmethod
     def of(counts: Iterable[tuple[str, str, int]]) -> Pairs:
         pairs = {(a, b): n for a, b, n in counts}
-        left, right, total = Counter(), Counter(), 0
+        left, right = Counter(), Counter()
         for (a, b), n in pairs.items():
             left[a] += n
             right[b] += n
-            total += n
+        return Pairs.chosen(pairs, left, right, left + right, sum(pairs.values()))
+
+    @staticmethod
+    def chosen(pairs: dict[tuple[str, str], int], left: dict[str, int], right: dict[str, int], words: dict[str, int], total: int, scale: float = 1.0) -> Pairs:
+        """Of the counts of pairs, of words on the left, on the right and on either side, and of all pairs; pairs below 2 and words below 4 times ``scale`` needn't be there."""
         # a pair seen twice or more, and more often than its words would meet by chance
-        known = {(a, b) for (a, b), n in pairs.items() if n >= 2 and n * total > left[a] * right[b]}
-        words = {w for w, n in (left + right).items() if n >= 4}
+        known = {(a, b) for (a, b), n in pairs.items() if n >= 2 * scale and n * total > left[a] * right[b]}
         share = sum(pairs[p] for p in known) / total if total else 1.0
-        return Pairs(frozenset(known), frozenset(words), max(share, 0.05))
+        return Pairs(frozenset(known), frozenset(w for w, n in words.items() if n >= 4 * scale), max(share, 0.05))
 
     def plausible(self, tokens: list[str]) -> tuple[int, float]:
         """Number of neighbours that are both familiar words, and how many of them are known pairs against the sentences' own share."""
@@ -403,29 +404,44 @@ def train(docs: DataFrame, pairs: Pairs, of: int, n: int = TRAINING_DOCUMENTS) -
     return Model().trained([[tuple(x.split(",")) for x in r["shown"].split("\n")] for r in sorted(rows)])
 
 
-def learn_pairs(docs: DataFrame, of: int, sample: int = SAMPLE_DOCUMENTS) -> Pairs:
-    """Word pairs of the sentences of about ``sample`` documents; at most MOST_PAIRS of them come to the driver."""
+def learn_pairs(docs: DataFrame, of: int) -> Pairs:
+    """Word pairs of the sentences of all ``of`` documents.
+
+    What comes to the driver has at least 2 (words: 4) occurrences per PLAIN_DOCUMENTS documents,
+    which bounds its number by the length of the documents, whatever their number is.
+    """
+    scale = max(1.0, of / PLAIN_DOCUMENTS)
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            n: Counter = Counter()
+            pairs: Counter = Counter()
             for t in pdf["text"]:
-                n.update(sentence_pairs(t))
-            yield pd.DataFrame([(a, b, k) for (a, b), k in n.items()], columns=["a", "b", "n"])
-
-    counted = _chosen(docs, sample, of).mapInPandas(count, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    return Pairs.of(tuple(r) for r in counted.orderBy(F.desc("n"), "a", "b").limit(MOST_PAIRS).collect())
-
-
-def text_statistics(docs: DataFrame, common: DataFrame | None = None, sample: int = SAMPLE_DOCUMENTS) -> DataFrame:
+                pairs.update(sentence_pairs(t))
+            left, right = Counter(), Counter()
+            for (a, b), n in pairs.items():
+                left[a] += n
+                right[b] += n
+            sides = {"left": left, "right": right, "word": left + right, "all": {"": sum(left.values())}}
+            out = [("pair", a, b, n) for (a, b), n in pairs.items()] + [(kind, w, "", n) for kind, ns in sides.items() for w, n in ns.items()]
+            yield pd.DataFrame(out, columns=["kind", "a", "b", "n"])
+
+    counted = docs.where("text IS NOT NULL").select("text").mapInPandas(count, "kind string, a string, b string, n long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
+    # a pair's words have its count on their sides at least
+    found: dict[str, dict] = {kind: {} for kind in ("pair", "left", "right", "word", "all")}
+    for kind, a, b, n in counted.where(F.col("n") >= F.when(F.col("kind") == "word", 4 * scale).when(F.col("kind") == "all", 0).otherwise(2 * scale)).collect():
+        found[kind][(a, b) if kind == "pair" else a] = n
+    return Pairs.chosen(found["pair"], found["left"], found["right"], found["word"], found["all"].get("", 0), scale)
+
+
+def text_statistics(docs: DataFrame, common: DataFrame | None = None) -> DataFrame:
     """doc_id, the number of lines and the share of characters under each label, and with ``common`` all other statistics.
 
     Shares are of the characters of all lines that aren't blank.  NULL, empty and blank texts
-    get zeros.  Whole texts are read, in one pass without a shuffle; only the bounded samples (SAMPLE_DOCUMENTS, TRAINING_DOCUMENTS) are
-    read before.  ``common`` (word) is a fixed list of function words; at most 100,000 are taken.
+    get zeros.  Whole texts are read, once for the word pairs, of which counts are shuffled, and once for
+    the labels; in between the model is trained on a bounded sample (TRAINING_DOCUMENTS).  ``common`` (word) is a fixed list of function words; at most 100,000 are taken.
     """
     of = docs.count()
-    pairs = learn_pairs(docs, of, sample)
+    pairs = learn_pairs(docs, of)
     model = train(docs, pairs, of)
     words = frozenset(plain(r[0]) for r in common.where(F.col("word").isNotNull()).select("word").distinct().limit(100_000).collect()) if common is not None else None
     shared = docs.sparkSession.sparkContext.broadcast((pairs, model, words))

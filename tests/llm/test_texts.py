@@ -204,3 +204,23 @@ def test_statistics_of_a_text(spark):
     assert got[0]["common_ratio"] > 0.2 and got[0]["ending_ratio"] == 1.0 and got[0]["prose_share"] == 1.0 and got[102]["table_share"] == 1.0
     assert got[103]["prose_share"] < 0.5
     assert q.text_statistics(df.limit(0), common.limit(0)).count() == 0
+
+
+def test_pairs_come_from_all_documents_and_are_alike_at_every_size(spark):
+    texts = [sentence() for _ in range(300)]
+    counts: dict = {}
+    for t in texts:
+        for pair, n in q.sentence_pairs(t).items():
+            counts[pair] = counts.get(pair, 0) + n
+    whole = q.Pairs.of((a, b, n) for (a, b), n in counts.items())
+    docs = lambda times: spark.createDataFrame([(i, t) for i, t in enumerate(texts * times)] + [(-1, None)], "doc_id long, text string")
+    assert len(whole.known) > 20
+    assert q.learn_pairs(docs(1), 20_000) == whole
+    assert q.learn_pairs(docs(3), 60_000) == whole
+    often = {pair for pair in whole.known if counts[pair] >= 60}
+    assert 0 < len(often) < len(whole.known) and q.learn_pairs(docs(1), 600_000).known == often
+    assert q.learn_pairs(docs(0), 0) == q.Pairs()
+    # a small source among many documents, with ids of high hashes: none of its texts may be passed over
+    rare = spark.range(-100, -1).where("pmod(xxhash64(id), 1 << 30) >= 1 << 29").limit(10).selectExpr("id AS doc_id", "'The heron watches the quiet estuary at dawn.' AS text")
+    got = q.learn_pairs(docs(1).unionByName(rare), 100_000)
+    assert rare.count() == 10 and ("heron", "watches") in got.known and "heron" in got.words
