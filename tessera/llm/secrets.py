@@ -76,7 +76,7 @@ def residual(value: str, words: Dictionary) -> int:
 
 _Q = r"""\\{0,3}(?:\"\"\"|'''|["'`])"""
 _BARE = r"""[^\s"'`\\;,<>)\]}|]+"""
-_IN = r"""[^\s"'`\\]{3,400}?"""
+_IN = r"""[^\s"'`\\]{3,}?"""
 #: Values that name another place or stand for a value to come.
 _PLACEHOLDER = re.compile(
     r"""(?ix) ^(?: [<{\[(%$] | \#\{ | os\.(?:environ|getenv) | process\.env | env[.:(\[] | dbutils\. | mssparkutils\. | notebookutils\. | getpass | vault[.:] | var\. | secrets?\. | config[.\[]
@@ -97,6 +97,7 @@ _OTHER_KEY = re.compile(
     r"|(?:guid|uuid|workspace|tenant|item|object)(?:[_-]?id)?\W{0,8}$"
     r"|(?:name|[_-]id|[_-]count|[_-]limit|length|[_-]size|[_-]type|scope|[_-]path|[_-]url|[_-]uri|[_-]file|hint|version|key_?id|access_?key_?id)\W{0,8}$"
     r"|base64,$|ssh-[\w-]+ $|PUBLIC KEY-----\s*$"
+    r"|(?:image|audio|video|font)/[\w.+-]+\W{1,8}$|application/pdf\W{1,8}$"
 )
 #: Issuers' own forms of tokens.
 _ISSUED = r"(?:sk-(?:proj-|ant-)?|gh[pousr]_|github_pat_|glpat-|xox[abeoprs]-|xapp-|dapi|AIza|ya29\.|shp(?:at|ss)_|npm_|pypi-|hf_|SG\.|rk_live_|sk_live_|eyJ)"
@@ -105,7 +106,7 @@ _ISSUED = r"(?:sk-(?:proj-|ant-)?|gh[pousr]_|github_pat_|glpat-|xox[abeoprs]-|xa
 #: Strength 3: a password's place; 2: a credential's; 1: a plain literal's.
 FORMS: tuple[tuple[int, str, str], ...] = (
     # address with user and password
-    (3, "://", r"""://[^\s/:@"'\\]{1,80}:(?P<v>[^\s/@"'\\]{3,200}(?:\['\w+'\])?)@"""),
+    (3, "://", r"""://[^\s/:@"'\\]{1,80}:(?P<v>[^\s/@"'\\]{3,}(?:\['\w+'\])?)@"""),
     # a password by its name: pw="v", password: v, 'passwd'] = v, PASSWORD = 'v'
     (3, "pass pwd pw kennwort contrase", rf"""(?i:pass(?:word|wd|phrase|code)?|pwd|\bpw|kennwort|contrase[nñ]a)(?!\w*(?i:name|id|hint|policy|length))\w{{0,12}}(?:{_Q})?\]?\s*(?:=>|:=|[:=])\s*(?:[rbuf]?{_Q}(?P<v>{_IN}){_Q}|(?P<w>{_BARE}))"""),
     # a password after a blank: login x password v, PASSWORD 'v'
@@ -132,7 +133,7 @@ FORMS: tuple[tuple[int, str, str], ...] = (
     (1, "value content", rf"""(?i:value|content)(?:{_Q})?\s*[:=]\s*{_Q}(?P<v>{_IN}){_Q}"""),
 )
 #: Any other literal of this length may be a secret when it is assigned to something.
-_LONG = re.compile(r"(?<![\w+/=~*…-])[\w+/=~*…-]{20,400}(?![\w+/=~*…-])")
+_LONG = re.compile(r"(?<![\w+/=~*…-])[\w+/=~*…-]{20,}(?![\w+/=~*…-])")
 _ASSIGNED = re.compile(rf"""[\w\])](?:{_Q})?\s*[:=]\s*[rbuf]?(?P<q>{_Q})?$""")
 
 

@@ -79,6 +79,20 @@ def test_clean_lines(line):
     assert redact(line, []) == line
 
 
+LONG = drawn(2000)
+
+
+@pytest.mark.parametrize("line", [f'refresh_token = "{LONG}"', f'password="{LONG}"', f'x = "{LONG}"', f'<add key="LedgerApi" value="{LONG}" />', f'engine = create_engine("postgresql://svc:{LONG}@h.example/db")', f'spark.conf.set("fs.account.key.h.example", "{LONG}")'])
+def test_long_values_are_found_whole(line):
+    found = find(f"# one\n{line}\n", W)
+    assert [s.line for s in found] == [2] and redact(f"# one\n{line}\n", found) == f"# one\n{line}\n".replace(LONG, REDACTED)
+
+
+@pytest.mark.parametrize("line", ["x = '" + "-" * 2000 + "'", f'img = "data:image/png;base64,{LONG}"', f'"data": {{"image/png": "{LONG}"}}', f'x = "{"rawPayrollReader" * 100}"'])
+def test_long_values_that_are_no_secrets(line):
+    assert find(line, W) == []
+
+
 def test_several_on_one_line_and_windows_ends():
     text = f'a = 1\r\npassword="{PASS}"; token = "{KEY}"\r\n'
     found = find(text, W)
