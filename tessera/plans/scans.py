@@ -20,7 +20,7 @@ from tessera.operators.scan import rule_hits, scan_documents
 from tessera.plans.findings import review_queue
 from tessera.session import table
 
-#: RE2 has no look-behind; the rules that need one are counted apart.
+#: RE2 has no look-behind: the SQL leaves out the rules that need one, the queries count them.
 _PORTABLE = tuple(r for r in RULES if "(?<" not in r.regex)
 
 
@@ -52,12 +52,12 @@ def scanned_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rule_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits and documents of each rule, counted in the JVM."""
     s = _once(table(spark, sf_dir, "notebook_sources").select("source_id", "source_text"), "source_id")
-    return rule_hits(s, "source_id", "source_text", _PORTABLE).groupBy("rule").agg(F.sum("hits").alias("hits"), F.count("*").alias("documents"))
+    return rule_hits(s, "source_id", "source_text").groupBy("rule").agg(F.sum("hits").alias("hits"), F.count("*").alias("documents"))
 
 
 def snippet_rule_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _once(table(spark, sf_dir, "fabric_url_scanner").select("row_id", "match_snippet"), "row_id")
-    return rule_hits(s, "row_id", "match_snippet", _PORTABLE).groupBy("rule").agg(F.sum("hits").alias("hits"), F.count("*").alias("documents"))
+    return rule_hits(s, "row_id", "match_snippet").groupBy("rule").agg(F.sum("hits").alias("hits"), F.count("*").alias("documents"))
 
 
 def secret_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:

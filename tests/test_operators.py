@@ -7,6 +7,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from tessera.functions.rule_catalogue import RULES
 from tessera.operators import blocks as bl
 from tessera.operators.chunking import BOUNDARY, chunk_documents, cut_lines, pack
 from tessera.operators.datasources import artifacts, placeholders, using
@@ -14,6 +15,7 @@ from tessera.operators.downloads import HANDLERS, classified, handler, manifest,
 from tessera.operators.latest import first_by_window, latest_row, latest_with_ties, upsert
 from tessera.operators.scan import Settings, nearest_direction, rule_hits, scan_block, scan_documents
 from tessera.plans.catalogue import finding_facts, split_valid
+from tessera.plans.scans import rule_totals, snippet_rule_totals
 
 
 def test_pack_limits_and_order():
@@ -94,6 +96,14 @@ def test_scan_documents_rows(spark):
     assert scan_documents(df.limit(0), "id", "p", "c").count() == 0
 
 
+def test_rule_totals_have_every_rule(spark, tmp_path):
+    number = next(r.number for r in RULES if "(?<" in r.regex)
+    texts = [(1, "fastcp(a, b)\nx = fastcp (c, d)"), (2, "mssparkutils.fs.fastcp(a, b)"), (3, None)]
+    for name, key, text, query in (("notebook_sources", "source_id", "source_text", rule_totals), ("fabric_url_scanner", "row_id", "match_snippet", snippet_rule_totals)):
+        spark.createDataFrame(texts, f"{key} long, {text} string").write.parquet(f"{tmp_path}/{name}.parquet")
+        assert [(r["hits"], r["documents"]) for r in query(spark, str(tmp_path)).collect() if r["rule"] == number] == [(2, 1)]
+
+
 def test_rule_hits_match_the_kernel(spark):
     texts = ["requests.post(1)\nrequests.put(2)", "AccountKey=" + "a" * 44, None, ""]
     df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
