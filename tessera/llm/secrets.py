@@ -162,7 +162,7 @@ def _lower(text: str) -> str:
 #: A text without any of these holds no candidate; checked in the JVM before a text reaches Python.
 GATE = (
     r"(?i)pass|pwd|pw|kennwort|contrase|secret|token|key|sig|sas|auth|jwt|bearer|basic |access|credential|identified|securestring|content|connect|signin|log_in|--|"
-    r"://[^\s/:@]+:[^\s/@]+@|/hooks?/|/services/|\s-[pu]\s|value|[A-Za-z0-9+/_=~-]{20,}|login|sk-|gh[pousr]_|github_pat|glpat|xox|xapp-|dapi|AIza|ya29|shp|npm_|pypi-|hf_|SG\\.|_live_|eyJ"
+    r"://[^\s/:@]+:[^\s/@]+@|/(?:hooks?|webhooks?|services)/|(?:^|[^\w-])-[pu][\s=]|value|[A-Za-z0-9+/_=~-]{20,}|login|sk-|gh[pousr]_|github_pat|glpat|xox|xapp-|dapi|AIza|ya29|shp|npm_|pypi-|hf_|SG\.|_live_|eyJ"
 )
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----(?P<body>.*?)(?:-----END|\Z)", re.S)
 _PUBLIC = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,3}(?:PUBLIC KEY|CERTIFICATE)-----.*?(?:-----END|\Z)", re.S)

@@ -6,7 +6,7 @@ import string
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm.secrets import REDACTED, Dictionary, default_words, dictionary, find, redact, residual, scan_secrets
+from tessera.llm.secrets import GATE, REDACTED, Dictionary, default_words, dictionary, find, redact, residual, scan_secrets
 
 W = dictionary(default_words())
 rng = random.Random(3)
@@ -93,6 +93,22 @@ def test_long_values_that_are_no_secrets(line):
     assert find(line, W) == []
 
 
+#: The shortest case of each form, as the whole text.
+SHORTEST = ["://u:Kelp!x@h", "pw=Kelp!x", "identified by 'Kelp!x'", "-p Kelp!x", "tool -p=Kelp!x12", "(-p Kelp!x)", "-u svc:Kelp!x12", "'-u' -u=a:Kelp!x", "login('a','Kelp!x')", f"{'AKIA' + 'A1' * 8}','{KEY}'", "basic Kelp!x", "sig=x", "--x-sig x1", "account.key','v1x'", "/hook/abcdefgh", "/webhooks/abcdefgh", "/services/abcdefgh", "SG.ab", "hf_ab", "content='Kelp!x'"]
+
+
+def test_the_gate_lets_every_form_pass(spark):
+    texts = [line for line, _ in SECRETS] + SHORTEST
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    assert [r["text"] for r in df.where(~F.col("text").rlike(GATE)).collect()] == []
+
+
+@pytest.mark.parametrize("text", ["-u svc:Kelp!x12", "tool -p=Kelp!x12"])
+def test_flags_that_begin_a_text_are_scanned(spark, text):
+    df = spark.createDataFrame([("t", "1", text)], "table_name string, row_key string, text string")
+    assert [(r["line_no"], r["redacted_text"]) for r in scan_secrets(df).collect()] == [(1, text.replace("Kelp!x12", REDACTED))]
+
+
 def test_several_on_one_line_and_windows_ends():
     text = f'a = 1\r\npassword="{PASS}"; token = "{KEY}"\r\n'
     found = find(text, W)
