@@ -115,7 +115,8 @@ def split(text: str, limit: int = 14_000, overlap: int = 200) -> list[tuple[int,
         nonlocal end
         while node.end > room():
             top = room()
-            blank = max(text.rfind(" ", max(end, top - 2000), top), text.rfind(",", max(end, top - 2000), top))
+            least = max(end, begin + overlap)
+            blank = max(text.rfind(" ", least, top), text.rfind(",", least, top))
             end = blank + 1 if blank > begin + overlap else top
             close("blank" if end < top else "cut")
         end = node.end

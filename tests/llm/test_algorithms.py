@@ -152,3 +152,8 @@ def test_count_tokens(spark):
     df = spark.createDataFrame([("hello world",), ("",), (None,), ("<|endoftext|>",)], "t string")
     got = [r[0] for r in df.select(count_tokens(F.col("t"))).collect()]
     assert got[0] == 2 and got[1:3] == [0, 0] and got[3] > 1
+
+
+def test_a_long_line_is_cut_at_a_blank_far_back():
+    far = "a" * 3000 + " " + "b" * 12_000
+    assert split(far, 14_000, 200) == [(0, 3001, "blank"), (3001, 15_001, "document")]
