@@ -433,17 +433,28 @@ def learn_pairs(docs: DataFrame, of: int) -> Pairs:
     return Pairs.chosen(found["pair"], found["left"], found["right"], found["word"], found["all"].get("", 0), scale)
 
 
+#: Most words of a list of common ones.
+MOST_WORDS = 100_000
+
+
+def _common_words(common: DataFrame) -> frozenset:
+    rows = common.where(F.col("word").isNotNull()).select("word").distinct().limit(MOST_WORDS + 1).collect()
+    if len(rows) > MOST_WORDS:
+        raise ValueError(f"more than {MOST_WORDS} common words")
+    return frozenset(plain(r[0]) for r in rows)
+
+
 def text_statistics(docs: DataFrame, common: DataFrame | None = None) -> DataFrame:
     """doc_id, the number of lines and the share of characters under each label, and with ``common`` all other statistics.
 
     Shares are of the characters of all lines that aren't blank.  NULL, empty and blank texts
     get zeros.  Whole texts are read, once for the word pairs, of which counts are shuffled, and once for
-    the labels; in between the model is trained on a bounded sample (TRAINING_DOCUMENTS).  ``common`` (word) is a fixed list of function words; at most 100,000 are taken.
+    the labels; in between the model is trained on a bounded sample (TRAINING_DOCUMENTS).  ``common`` (word) is a fixed list of function words, at most MOST_WORDS of them.
     """
     of = docs.count()
     pairs = learn_pairs(docs, of)
     model = train(docs, pairs, of)
-    words = frozenset(plain(r[0]) for r in common.where(F.col("word").isNotNull()).select("word").distinct().limit(100_000).collect()) if common is not None else None
+    words = _common_words(common) if common is not None else None
     shared = docs.sparkSession.sparkContext.broadcast((pairs, model, words))
     kind = {f.name: f.dataType.simpleString() for f in docs.schema}["doc_id"]
     columns = f"{SHARES}, {STATS}" if common is not None else SHARES

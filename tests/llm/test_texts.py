@@ -224,3 +224,13 @@ def test_pairs_come_from_all_documents_and_are_alike_at_every_size(spark):
     rare = spark.range(-100, -1).where("pmod(xxhash64(id), 1 << 30) >= 1 << 29").limit(10).selectExpr("id AS doc_id", "'The heron watches the quiet estuary at dawn.' AS text")
     got = q.learn_pairs(docs(1).unionByName(rare), 100_000)
     assert rare.count() == 10 and ("heron", "watches") in got.known and "heron" in got.words
+
+
+def test_too_many_common_words_are_refused(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "The end.")], "doc_id long, text string")
+    common = spark.createDataFrame([("the",), ("The",), ("a",), ("a",), (None,)], "word string")
+    monkeypatch.setattr(q, "MOST_WORDS", 3, raising=False)
+    assert q.text_statistics(docs, common).count() == 1
+    monkeypatch.setattr(q, "MOST_WORDS", 2, raising=False)
+    with pytest.raises(ValueError):
+        q.text_statistics(docs, common)
