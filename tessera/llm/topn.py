@@ -1,9 +1,9 @@
 """The N best rows of every group, with a hot-cold split.
 
-Exact group counts tell heavy groups from light ones.  Light groups rank in an
-ordinary window, partitioned once by group.  Heavy groups are sorted by ranges
-of (group, order, salt), so one group spreads over many tasks; each range
-keeps its first N of a group, and only those meet in a last window.
+Exact group counts tell heavy groups from light ones before anything is shuffled by
+group.  Light groups rank in an ordinary window.  A heavy group is dealt to as many
+salted slices as its count asks for; the slices are spread by ranges of (group, salt)
+and sorted, each keeps its first N, and only those meet in a last window.
 """
 
 from __future__ import annotations
@@ -41,28 +41,44 @@ def _ranked(df: DataFrame, rank: str, by: Sequence[str], order: Sequence[Column]
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(rank) <= n)
 
 
-def top_n_per_group(df: DataFrame, group: str, order: Sequence[Column], n: int, item: Sequence[str] | None = None, version: str | None = None, heavy: int = 100_000) -> DataFrame:
+#: A group is heavy from a ``MOST_HOT``-th of all rows on, so there are never more heavy groups than this and their list may be broadcast.
+MOST_HOT = 10_000
+#: Groups of at most this many rows per wanted row are light whatever their share is: cutting them up saves nothing.
+SMALLEST = 20
+
+
+def hot_groups(rows: DataFrame, group: str, n: int, slice_rows: int) -> DataFrame:
+    """The heavy groups (fewer than MOST_HOT) and the number of slices of each, from exact counts."""
+    counted = rows.groupBy(F.col(group).alias("group")).agg(F.count("*").alias("count"))
+    share = counted.agg((F.sum("count") / MOST_HOT).alias("share")).scalar()
+    hot = counted.where((F.col("count") > SMALLEST * n) & (F.col("count") > share))
+    return hot.select("group", F.greatest(F.lit(2), F.least(F.lit(100_000), F.ceil(F.col("count") / slice_rows))).cast("int").alias("slices"))
+
+
+def top_n_per_group(df: DataFrame, group: str, order: Sequence[Column], n: int, item: Sequence[str] | None = None, version: str | None = None, slice_rows: int = 100_000) -> DataFrame:
     """The first ``n`` rows of every group by ``order``, with rank_no from 1.
 
     Ties left by ``order`` are broken by the hash of all columns, so rows that are equal in every column are all that can
     change places.  With ``item`` and ``version`` only the latest version of each item takes part (of equal ones the row
     with the largest remaining values; a NULL version is the oldest).  Rows with a NULL group don't take part; groups smaller than
     ``n`` come whole; an empty table gives no rows.  Other columns are carried along, whatever their names; only one called rank_no
-    is replaced.  ``heavy`` is the row count from which a group is sorted by ranges; it changes the plan, never the result.
+    is replaced.  ``slice_rows`` is the number of rows of a heavy group that one slice gets (two slices at least); it changes the plan, never the result.
     """
     df = df.drop("rank_no")
-    count, salt, place, rank = _fresh(df, "count", "salt", "place", "rank")
+    hot_group, slices, salt, rank = _fresh(df, "hot_group", "slices", "salt", "rank")
     rows = df.where(F.col(group).isNotNull())
-    # rows before versions are dropped: an upper bound of the group's size, so a light group is surely light
-    hot = rows.groupBy(group).agg(F.count("*").alias(count)).where(F.col(count) > heavy)
-    split = rows.join(hot, group, "left").select(*rows.columns, count)
-    light = split.where(F.col(count).isNull()).drop(count).repartition(group)
-    hard = split.where(F.col(count).isNotNull()).drop(count)
+    # counts are of rows before versions are dropped: an upper bound of the group's size
+    hot = F.broadcast(hot_groups(rows, group, n, slice_rows).withColumnsRenamed({"group": hot_group, "slices": slices}))  # fewer than MOST_HOT rows
+    light = rows.join(hot, F.col(group) == F.col(hot_group), "left_anti").repartition(group)
+    hard = rows.join(hot, F.col(group) == F.col(hot_group)).drop(hot_group)
     if version:
-        light, hard = _latest(light, group, item, version), _latest(hard, group, item, version)
+        # light rows are in place by group; those of a heavy group meet by item
+        light = _latest(light, group, item, version)
+        hard = _latest(hard, group, [*item, slices], version)
     order = [*order, F.xxhash64(*[c for c in rows.columns if c != group])] if len(rows.columns) > 1 else list(order)
-    ranges = hard.withColumn(salt, F.xxhash64(*hard.columns)).repartitionByRange(F.col(group), *order, F.col(salt)).drop(salt)
-    firsts = _ranked(ranges.withColumn(place, F.spark_partition_id()), rank, (group, place), order, n).drop(rank, place)
+    # ranges of (group, salt) keep a slice in one task, so ranking it needs no further shuffle
+    spread = hard.withColumn(salt, F.pmod(F.xxhash64(*[c for c in rows.columns if c != group], F.lit(1)), F.col(slices))).drop(slices).repartitionByRange(F.col(group), F.col(salt))
+    firsts = _ranked(spread, rank, (group, salt), order, n).drop(rank, salt)
     return _ranked(light, rank, (group,), order, n).unionByName(_ranked(firsts, rank, (group,), order, n)).withColumnRenamed(rank, "rank_no").select(*df.columns, "rank_no")
 
 

@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tessera.llm import topn
 from tessera.llm.mixing import allocate, count_tokens, mix
 from tessera.llm.splitting import Tree, once, split, split_rows
 from tessera.llm.topn import top_n_per_group
@@ -83,26 +84,36 @@ def brute(data, n):
     return sorted((g, item, k + 1) for g, xs in groups.items() for k, (_, item) in enumerate(sorted(xs)[:n]))
 
 
-@pytest.mark.parametrize("heavy", [1, 50, 100_000])
-def test_top_n_is_the_same_however_groups_are_split(spark, heavy):
+@pytest.mark.parametrize("small, slice_rows", [(0, 10), (1, 7), (20, 100), (10**6, 100)])
+def test_top_n_is_the_same_however_groups_are_split(spark, monkeypatch, small, slice_rows):
+    monkeypatch.setattr(topn, "SMALLEST", small)
     rng = random.Random(1)
     data = [("hot" if i % 3 == 0 else f"g{rng.randrange(30)}", rng.randrange(200), rng.randrange(5), rng.randrange(8), 1, 2) for i in range(2000)] + [(None, 1, 1, 1, 1, 1)]
     df = spark.createDataFrame(data + data[:50], "g string, item int, v int, score int, count int, rank_no int")
-    got = top_n_per_group(df, "g", [F.desc("score"), F.asc("item")], 3, ("item",), "v", heavy)
+    got = top_n_per_group(df, "g", [F.desc("score"), F.asc("item")], 3, ("item",), "v", slice_rows)
     assert got.columns == ["g", "item", "v", "score", "count", "rank_no"]
     assert rows(got.select("g", "item", "rank_no")) == sorted(brute(data, 3), key=str)
 
 
-def test_top_n_edge_cases(spark):
+def test_top_n_edge_cases(spark, monkeypatch):
+    monkeypatch.setattr(topn, "SMALLEST", 0)
     df = spark.createDataFrame([("a", 1, None), ("a", 2, 5), ("b", 1, 5), ("b", 1, 5)], "g string, item int, score int")
     order = [F.desc_nulls_last("score"), F.asc("item")]
     assert rows(top_n_per_group(df, "g", order, 1).select("g", "item")) == [("a", 2), ("b", 1)]
-    assert top_n_per_group(df, "g", order, 9, heavy=1).count() == 4 and top_n_per_group(df.limit(0), "g", order, 2).count() == 0
+    assert top_n_per_group(df, "g", order, 9, slice_rows=1).count() == 4 and top_n_per_group(df.limit(0), "g", order, 2).count() == 0
     ties = spark.createDataFrame([("a", 1, i) for i in range(100)], "g string, score int, id int")
-    first = rows(top_n_per_group(ties, "g", [F.desc("score")], 3, heavy=1))
+    first = rows(top_n_per_group(ties, "g", [F.desc("score")], 3, slice_rows=9))
     assert first == rows(top_n_per_group(ties.repartition(7), "g", [F.desc("score")], 3)) and len(first) == 3
 
 
+def test_heavy_groups_are_known_by_their_counts_and_spread_over_slices(spark):
+    df = spark.range(9000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("g"), F.col("id"))).alias("g"), "id")
+    assert rows(topn.hot_groups(df, "g", 3, 100)) == [("hot", 30)]
+    plan = top_n_per_group(df, "g", [F.desc("id")], 3, slice_rows=100)._jdf.queryExecution().toString()
+    assert "rangepartitioning(g" in plan and "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert topn.hot_groups(df.limit(0), "g", 3, 100).count() == 0
+
+
 # ---------------------------------------------------------------- mixing
 
 
