@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.words import VOCABULARY
 from tessera.session import table
 
 #: What stands in place of a secret.
@@ -295,12 +296,6 @@ def redact(text: str, secrets: list[Secret]) -> str:
 # ---------------------------------------------------------------- operator
 
 
-def default_words() -> str:
-    import public_tokenizers as P
-
-    return P.path("byte_bpe_50k.tiktoken")
-
-
 def scan_secrets(rows: DataFrame, vocabulary: str | None = None, redacted: bool = True) -> DataFrame:
     """One row per secret of each text.
 
@@ -309,7 +304,7 @@ def scan_secrets(rows: DataFrame, vocabulary: str | None = None, redacted: bool
     texts, and texts without secrets, give no rows; repeated rows give repeated results.  Whatever
     the row says of its own secrets is ignored.  Nothing is shuffled.
     """
-    path = vocabulary or default_words()
+    path = vocabulary or VOCABULARY
     names = ["table_name", "row_key", "line_no", "start_char", "end_char"] + ["redacted_text"] * redacted
     schema = "table_name string, row_key string, line_no int, start_char long, end_char long" + ", redacted_text string" * redacted
 

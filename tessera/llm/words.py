@@ -6,6 +6,11 @@ import html
 import re
 import unicodedata
 
+#: Where the vocabulary files of public tokenizers lie, unless a path is given.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+# Fixed value: how that vocabulary's tokenizer parts a text before it merges bytes.
+TOKEN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
 _TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>")
 _BROKEN = re.compile("[-­‐‑]\r?\n[\\s>|#*/-]*")
 _DASH = re.compile("[‒-―−]|--+|/(?=[^/])")

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.llm import topn
-from tessera.llm.mixing import allocate, count_tokens, mix
+from tessera.llm.mixing import Draw, allocate, count_tokens, draw_of, mix, sizes_of
 from tessera.llm.splitting import Tree, once, split, split_rows
 from tessera.llm.topn import top_n_per_group
 
@@ -132,30 +132,62 @@ def docs(spark, data):
     return spark.createDataFrame([(*d, 0.0, "t") for d in data], DOCS)
 
 
-def test_mix_hits_the_target_and_repeats_itself(spark):
+def planned(df, take, cap=9):
+    return {s: draw_of(v, take[s], cap) for s, v in sizes_of(df, list(take)).items()}
+
+
+@pytest.mark.parametrize("sized", [False, True])
+def test_mix_hits_the_target_and_repeats_itself(spark, sized):
     rng = random.Random(4)
-    data = [(i, "a" if i % 3 else "b", rng.randrange(1, 60), 1.0) for i in range(6000)] + [(9001, "a", 0, 1.0), (9002, None, 5, 1.0), (9003, "other", 5, 1.0)]
+    sizes = [rng.randrange(1, 60) for _ in range(6000)]
+    data = [(i, "a" if i % 3 else "b", n, float(n) if sized else 1.0) for i, n in enumerate(sizes)] + [(9001, "a", 0, 1.0), (9002, None, 5, 1.0), (9003, "other", 5, 1.0)]
     sums = Counter()
     for _, s, n, _ in data:
         sums[s] += n
-    plan = {"a": (1, sums["a"] * 0.37), "b": (0, sums["b"] * 0.08)}
-    got = mix(docs(spark, data), plan).collect()
+    df = docs(spark, data)
+    take = {"a": sums["a"] * 1.37, "b": sums["b"] * 0.08}
+    plan = planned(df, take)
+    got = mix(df, plan).collect()
     assert len(got) == len(data)
-    for s, (certain, draw) in plan.items():
+    for s, d in plan.items():
         own = [r for r in got if r["source"] == s and r["tokens"]]
-        assert {r["copies"] for r in own} <= {certain, certain + 1}
-        assert abs(sum(r["tokens"] * (r["copies"] - certain) for r in own) - draw) <= 60
+        assert {r["copies"] for r in own} <= {d.certain, d.certain + 1}
+        assert abs(sum(r["tokens"] * r["copies"] for r in own) - take[s]) <= 30
     assert {r["copies"] for r in got if r["id"] >= 9001} == {0}
-    again = {r["id"]: r["copies"] for r in mix(docs(spark, data).repartition(5), plan).collect()}
+    again = {r["id"]: r["copies"] for r in mix(df.repartition(5), plan).collect()}
     assert again == {r["id"]: r["copies"] for r in got} and mix(docs(spark, []), plan).count() == 0
-    # every size has the same chance
-    taken = [r for r in got if r["source"] == "a" and r["copies"] == 2]
-    assert np.mean([r["tokens"] for r in taken]) == pytest.approx(np.mean([n for _, s, n, _ in data if s == "a" and n]), rel=0.08)
+    mean = np.mean([r["tokens"] for r in got if r["source"] == "a" and r["copies"] == 2])
+    every = [n for _, s, n, _ in data if s == "a" and n]
+    # by equal weights every size has the same chance, by tokens long documents have a greater one
+    assert mean == pytest.approx(np.average(every, weights=every) if sized else np.mean(every), rel=0.08)
+
+
+def test_inclusion_is_in_proportion_to_size_and_large_documents_are_certain(spark):
+    data = [(i, "a", 10 if i % 2 else 30, 0.0) for i in range(4000)] + [(i, "a", 4000, 0.0) for i in range(5000, 5003)]
+    df = docs(spark, [(i, s, n, float(n)) for i, s, n, _ in data])
+    plan = planned(df, {"a": 12_000 + 20_000.0})
+    assert plan["a"].sure < 1 << 30 and plan["a"].rate * 30 < 1
+    taken = [r for r in mix(df, plan).collect() if r["copies"]]
+    assert sum(r["tokens"] == 4000 for r in taken) == 3
+    small, large = (sum(r["tokens"] == n for r in taken) for n in (10, 30))
+    # 20,000 tokens by inclusion c * size: c * 2000 * (10 * 10 + 30 * 30) = 20,000, so 200 small and 600 large ones
+    assert small == pytest.approx(200, abs=45) and large == pytest.approx(600, abs=20)
+    # equal weights rank by the random number alone: another order, other documents
+    alike = mix(docs(spark, [(i, s, n, 1.0) for i, s, n, _ in data]), planned(docs(spark, [(i, s, n, 1.0) for i, s, n, _ in data]), {"a": 32_000.0}))
+    assert {r["id"] for r in alike.collect() if r["copies"]} != {r["id"] for r in taken}
+
+
+def test_draws_by_hand():
+    assert draw_of([], 5.0, 2) == Draw()
+    assert draw_of([(0, 100, 100.0, 1.0)], 250.0, 9) == Draw(2, 50.0, 1 << 30, 0.5)
+    assert draw_of([(0, 100, 100.0, 1.0)], 250.0, 2) == Draw(2, 0.0, 1 << 30, 0.0)
+    # classes of size 1 and 100: of 150 tokens the large document would need an inclusion above 1
+    assert draw_of([(0, 200, 200.0, 1.0), (53, 100, 10_000.0, 100.0)], 150.0, 9) == Draw(0, 150.0, 53, 0.25)
 
 
 def test_mix_weights_shift_inclusion(spark):
-    data = [(i, "a", 10, 9.0 if i % 2 else 1.0) for i in range(4000)]
-    got = mix(docs(spark, data), {"a": (0, 8000.0)}).where("copies > 0").collect()
+    df = docs(spark, [(i, "a", 10, 9.0 if i % 2 else 1.0) for i in range(4000)])
+    got = mix(df, planned(df, {"a": 8000.0})).where("copies > 0").collect()
     assert len(got) == pytest.approx(800, abs=2) and sum(r["id"] % 2 for r in got) / len(got) == pytest.approx(0.9, abs=0.04)
 
 

@@ -6,9 +6,10 @@ import string
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm.secrets import GATE, REDACTED, Dictionary, default_words, dictionary, find, redact, residual, scan_secrets
+from tessera.llm.secrets import GATE, REDACTED, Dictionary, dictionary, find, redact, residual, scan_secrets
+from tessera.llm.words import VOCABULARY
 
-W = dictionary(default_words())
+W = dictionary(VOCABULARY)
 rng = random.Random(3)
 
 
