@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import topn
 from tessera.llm.mixing import Draw, allocate, count_tokens, draw_of, mix, sizes_of
-from tessera.llm.splitting import Tree, once, split, split_rows
+from tessera.llm.splitting import Tree, once, rejoined, split, split_rows
 from tessera.llm.topn import top_n_per_group
 
 # ---------------------------------------------------------------- splitting
@@ -59,7 +59,42 @@ def test_split_notebook_json_at_cells():
 
 def test_long_lines():
     text = "short\r\n" + "x" * 50 + "\r\n" + "y" * 49 + "\r\n" + "z" * 51
-    assert Tree(text).long_lines(49) == [2, 4]
+    tree = Tree(text, 49)
+    tree.pieces()
+    assert tree.oversized() == [0, 2, 4]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet='ab \n\r#,"{}[]\\n', max_size=300), st.integers(5, 60), st.integers(0, 4), st.booleans())
+def test_oversized_nodes_against_all_lines(text, limit, overlap, notebook):
+    text = '{"cells": [' + text if notebook else text
+    tree = Tree(text, limit, overlap)
+    tree.pieces()
+    long = [i for i, line in enumerate(text.split("\n"), 1) if len(line) - line.endswith("\r") > limit]
+    assert tree.oversized() == ([0, *long] if len(text) > limit else [])
+
+
+def test_subtrees_are_merged_whole_and_opened_nodes_stay_apart():
+    cell = lambda n, w: f"# CELL {n} ****\n" + (w * 8 + "\n") * n
+    text = cell(2, "a") + cell(2, "b") + cell(40, "c") + cell(2, "d") + cell(2, "e")
+    spans = [text[a:b] for a, b, _ in split(text, 130, 10)]
+    assert spans[0] == cell(2, "a") + cell(2, "b") and spans[-1] == cell(2, "d") + cell(2, "e")
+    assert set("".join(spans[1:-1]).replace("# CELL 40 ****", "")) == {"c", "\n"}
+    sections = "# One\n" + "x\n" * 20 + "\n## A\n" + "a\n" * 20 + "\n## B\n" + "b\n" * 20 + "\n# Two\n" + "y\n" * 20
+    assert [sections[b : b + 4] for _, b, _ in split(sections, 100, 0)][:-1] == ["## B", "# Tw"] or [sections[b : b + 4] for _, b, _ in split(sections, 100, 0)][:-1] == ["## A", "## B", "# Tw"]
+    items = "".join(f"- item {i}\n  more of it\n  and more\n" for i in range(10))
+    assert all(items[b : b + 2] == "- " for _, b, _ in split(items, 120, 5)[:-1])
+
+
+def test_pieces_join_to_the_text_again(spark):
+    texts = ["", "a b " * 30, "x" * 100 + "\n" + "y" * 7, "é\r\n\r\n" * 40, "short"]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(9, None)], "id long, t string")
+    pieces = split_rows(df, "id", "t", 40, 10).where("kind = 'piece'").withColumnRenamed("number", "piece_no")
+    got = {r["id"]: r for r in rejoined(pieces, "id", 10).collect()}
+    assert {k: r["text"] for k, r in got.items()} == {k: t for k, t in enumerate(texts) if t}
+    assert all(r["overlaps_agree"] and r["longest"] <= 40 for r in got.values()) and rejoined(pieces.limit(0), "id").count() == 0
+    broken = pieces.withColumn("piece_text", F.when(F.col("piece_no") == 2, F.concat(F.lit("?"), "piece_text")).otherwise(F.col("piece_text")))
+    assert not rejoined(broken, "id", 10).where("id = 1").first()["overlaps_agree"]
 
 
 def test_split_rows_cases(spark):
