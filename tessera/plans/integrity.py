@@ -50,18 +50,18 @@ TARGETS = (("dim_workspace", "workspace_id"), ("item_inventory", "item_id"))
 def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orphan references of all tables, repeated deliveries left out.
 
-    All targets share one set of runs, an id being told apart by its table, so all references take one join.
+    All targets share one set of runs, their keys being told apart by a number, so all references are matched together.
     """
-    tagged = lambda t, c: F.concat(F.lit(f"{t}:"), c)  # noqa: E731  NULL for a NULL id
-    parents = reduce(DataFrame.unionByName, [lifetimes(table(spark, sf_dir, t), tagged(t, canonical_id(F.col(k))), F.col("first_seen"), F.col("deleted_at")) for t, k in TARGETS])
+    numbers = {t: n for n, (t, _) in enumerate(TARGETS)}
+    parents = reduce(DataFrame.unionByName, [lifetimes(table(spark, sf_dir, t), canonical_id(F.col(k)), F.col("first_seen"), F.col("deleted_at"), numbers[t]) for t, k in TARGETS])
     refs = reduce(
         DataFrame.unionByName,
         [
-            table(spark, sf_dir, t).select(F.lit(t).alias("table_name"), F.col(k).cast("string").alias("row_key"), F.lit(c).alias("ref_column"), tagged(to, reference_id(F.col(c))).alias("ref_id"), F.col(at).alias("ref_at"))
+            table(spark, sf_dir, t).select(F.lit(t).alias("table_name"), F.col(k).cast("string").alias("row_key"), F.lit(c).alias("ref_column"), reference_id(F.col(c)).alias("ref_id"), F.col(at).alias("ref_at"), F.lit(numbers[to]).alias("target"))
             for t, k, c, at, to in REFERENCES
         ],
     )
-    return orphan_references(refs, parents).distinct()
+    return orphan_references(refs, parents, F.col("target")).drop("target")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +72,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orphan references per table, column, month (NULL without a time) and kind."""
     month = F.date_format("ref_at", "yyyy-MM").alias("month")
-    return orphans(spark, sf_dir).groupBy("table_name", "ref_column", month, "orphan_kind").agg(F.count("*").alias("orphans"), F.countDistinct("ref_id").alias("targets"))
+    return orphans(spark, sf_dir).distinct().groupBy("table_name", "ref_column", month, "orphan_kind").agg(F.count("*").alias("orphans"), F.countDistinct("ref_id").alias("targets"))
 
 
 QUERIES = {"p2_found": p2_found, "p2_changes": p2_changes, "p4_found": p4_found, "p4_by_month": p4_by_month}

@@ -9,7 +9,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from tessera.functions.ids import canonical_id, hex32, reference_id
-from tessera.operators.orphans import lifetimes, orphan_references
+from tessera.operators.orphans import integer_key, key_runs, lifetimes, orphan_references
 from tessera.operators.snapshot_diff import diff_arrays, snapshot_changes
 
 T0 = datetime(2025, 1, 1, tzinfo=timezone.utc)
@@ -123,3 +123,29 @@ def test_ids(spark):
     low = g.lower()
     assert [x[0] for x in got[:4]] == [low] * 4 and got[4][0] == "x-1" and got[5][0] is None and got[6][0] is None
     assert got[7][1] is None and got[7][0] is not None and got[4][2] is None
+
+
+def test_integer_keys_keep_order_and_neighbours(spark):
+    ids = ["00000000-0000-0000-0000-00000000000a", "00000000-0000-0000-0000-00000000000b", "ffffffff-ffff-ffff-ffff-ffffffffffff", "0", "65535", "65536", "123456789012345678", "007", "other", None]
+    got = {r["id"]: (r["space"], r["hi"], r["lo"]) for r in spark.createDataFrame([(i,) for i in ids], "id string").select("id", *integer_key(F.col("id"), F.lit(1))).collect()}
+    assert got[ids[0]] == (3, 0, 10) and got[ids[1]] == (3, 0, 11) and got[ids[2]] == (3, -1, -1)
+    assert [got[i] for i in ("0", "65535", "65536")] == [(4, 0, 0), (4, 0, 65535), (4, 1, 0)] and got["123456789012345678"][0] == 4
+    assert got["007"][0] == got["other"][0] == 5 and got[None][0] is None
+
+
+@pytest.mark.parametrize("bits", [1, 5, 30])
+def test_key_runs_compress_neighbours_and_match_as_of(spark, bits):
+    rng = random.Random(bits)
+    number = lambda n: f"{n:032x}"
+    guid = lambda n: "-".join((number(n)[:8], number(n)[8:12], number(n)[12:16], number(n)[16:20], number(n)[20:]))
+    base = [rng.getrandbits(128) for _ in range(5)] + [0, 2**64 - 3, 2**128 - 9]
+    keys = {b + k for b in base for k in range(6) if rng.random() < 0.8 and b + k < 2**128}
+    ids = [guid(k) for k in keys] + [str(k) for k in range(65_530, 65_545) if k != 65_540]
+    parents = spark.createDataFrame([(i,) for i in ids * 2], "id string").select(*integer_key(F.col("id")))
+    runs = key_runs(parents, bits)
+    assert runs.count() < len(ids) and not set(runs.columns) & {"run", "starts"}
+    asked = [guid(b + k) for b in base for k in range(-2, 9) if 0 <= b + k < 2**128] + [str(k) for k in range(65_520, 65_560)]
+    refs = spark.createDataFrame([(i, at(1)) for i in asked], "ref_id string, ref_at timestamp")
+    lives = lifetimes(spark.createDataFrame([(i, at(0), None) for i in ids], PARENTS), F.col("id"), F.col("first"), F.col("gone"))
+    got = {r["ref_id"] for r in orphan_references(refs, lives).collect()}
+    assert got == set(asked) - set(ids)
