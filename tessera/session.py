@@ -60,9 +60,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints; a temporary one is set only where the session names none (tests)."""
+    """The shared folder for checkpoints, from spark.checkpoint.dir.
+
+    A temporary folder is set only on a local master (tests), where driver and tasks share one machine; on a
+    cluster a session that names none is an error.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="tessera-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", at)
     spark.sparkContext.setCheckpointDir(at)

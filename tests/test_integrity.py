@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions.ids import canonical_id, hex32, reference_id
 from tessera.operators.orphans import integer_key, key_runs, lifetimes, orphan_references
+from tessera.operators import snapshot_diff
 from tessera.operators.snapshot_diff import diff_arrays, snapshot_changes
+from tessera.session import checkpoint_dir
 
 T0 = datetime(2025, 1, 1, tzinfo=timezone.utc)
 
@@ -149,3 +151,37 @@ def test_key_runs_compress_neighbours_and_match_as_of(spark, bits):
     lives = lifetimes(spark.createDataFrame([(i, at(0), None) for i in ids], PARENTS), F.col("id"), F.col("first"), F.col("gone"))
     got = {r["ref_id"] for r in orphan_references(refs, lives).collect()}
     assert got == set(asked) - set(ids)
+
+
+def test_keys_travel_as_their_own_bytes_or_by_name(spark):
+    g = "0ae7f5d3-3e24-4230-8aaf-458aee59f28e"
+    data = [("r1", g, "x", at(0)), ("r1", "b", "x", at(0)), ("r2", "c", "x", at(1)), ("r2", g, "y", at(1)), ("r3", "c", "y", at(2))]
+    assert rows(changes(frame(spark, data))) == sorted([("r2", g, "changed"), ("r2", "b", "removed"), ("r2", "c", "added"), ("r3", g, "removed"), ("r3", "c", "changed")])
+    two = snapshot_changes(frame(spark, data), F.col("run"), {"k": F.col("k"), "second": F.length("k")}, {"v": F.col("v")}, F.col("t"))
+    assert ("r2", "c", "1", "added") in rows(two) and ("r2", g, "36", "changed") in rows(two)
+
+
+@pytest.mark.parametrize("size", [1, 3, 1000])
+def test_buckets_by_row_count_change_nothing(spark, monkeypatch, size):
+    monkeypatch.setattr(snapshot_diff, "BUCKET_ROWS", size)
+    data = [(f"r{r}", f"k{k}", "xyz"[(r * k) % 3], at(r)) for r in range(4) for k in range(30) if (r + k) % 5]
+    held = {(r, k): v for r, k, v, _ in data}
+    want = []
+    for r in range(1, 4):
+        for k in range(30):
+            a, b = held.get((f"r{r - 1}", f"k{k}")), held.get((f"r{r}", f"k{k}"))
+            if a != b:
+                want.append((f"r{r}", f"k{k}", "added" if a is None else "removed" if b is None else "changed"))
+    assert rows(changes(frame(spark, data))) == sorted(want)
+
+
+def test_a_cluster_must_name_its_checkpoint_folder(spark, monkeypatch):
+    class Conf:
+        get = staticmethod(lambda *_: None)
+
+    class Cluster:
+        conf = Conf
+        sparkContext = type("C", (), {"master": "spark://head:7077"})
+
+    with pytest.raises(ValueError):
+        checkpoint_dir(Cluster)
