@@ -95,11 +95,29 @@ def documents_of_chunks(chunks: DataFrame) -> DataFrame:
     )
 
 
-def with_findings(documents: DataFrame, findings: DataFrame) -> DataFrame:
-    """Documents with their rule findings, by workspace, date and name; a NULL among them matches nothing."""
-    keys = ["workspace_id", "source_dated_partition", "display_name"]
-    counted = findings.groupBy(*keys).agg(F.count("finding_type").alias("finding_rows"))
-    return documents.join(counted, keys, "left").orderBy(F.desc_nulls_last("exfiltration_risk_score"), F.desc_nulls_last("external_resource_access_score"))
+KEYS = ("workspace_id", "source_dated_partition", "display_name")
+SCORES = ("exfiltration_risk_score", "external_resource_access_score")
+
+
+def with_scores(findings: DataFrame, documents: DataFrame) -> DataFrame:
+    """Every rule finding with its document's scores and rationale, riskiest first; findings of documents without scores stay.
+
+    Documents are matched by workspace, date and name; a NULL among them matches nothing.
+    """
+    scores = documents.select(*KEYS, *SCORES, "top_rationale")
+    joined = findings.select(*KEYS, "severity", "finding_type", "category").join(scores, list(KEYS), "left")
+    return joined.orderBy(*[F.desc_nulls_last(c) for c in SCORES])
+
+
+def riskiest_document(documents: DataFrame) -> DataFrame:
+    """The one document of the greatest scores; equal ones by their id."""
+    known = documents.where("exfiltration_risk_score IS NOT NULL AND notebook_id IS NOT NULL")
+    return known.orderBy(*[F.desc_nulls_last(c) for c in SCORES], "notebook_id").select("notebook_id").limit(1)
+
+
+def drill_down(chunks: DataFrame, document: DataFrame) -> DataFrame:
+    """All chunks of a document (a single row with its id), in order."""
+    return chunks.join(F.broadcast(document), "notebook_id", "left_semi").orderBy("chunk_index", "assessed_at")
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,9 +139,23 @@ def parsed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("notebook_id", "chunk_index", "assessed_at", "external_resource_access_score", "exfiltration_risk_score", "ai_error")
 
 
+def _scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per workspace, date and name, with the rationale of its riskiest chunk."""
+    unknown = lambda c: F.coalesce(F.col(c), F.lit(-1))
+    riskiest = F.struct(*[unknown(c) for c in SCORES], -F.col("chunk_index"), F.col("rationale"))
+    return _chunks(spark, sf_dir).groupBy(*KEYS).agg(*[F.max(c).alias(c) for c in SCORES], F.max_by("rationale", riskiest).alias("top_rationale"), F.min("notebook_id").alias("notebook_id"))
+
+
 def rule_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _chunks(spark, sf_dir).groupBy("workspace_id", "source_dated_partition", "display_name").agg(F.max("external_resource_access_score").alias("external_resource_access_score"), F.max("exfiltration_risk_score").alias("exfiltration_risk_score"))
-    return with_findings(c, table(spark, sf_dir, "scan_results"))
+    return with_scores(table(spark, sf_dir, "scan_results"), _scored_documents(spark, sf_dir))
+
+
+def drill_down_riskiest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks of the riskiest document."""
+    c = _chunks(spark, sf_dir)
+    documents = c.groupBy("notebook_id").agg(*[F.max(s).alias(s) for s in SCORES])
+    found = c.select("notebook_id", "chunk_index", "chunk_count", *SCORES, "rationale", "ai_error", "assessed_at").distinct()
+    return drill_down(found, riskiest_document(documents))
 
 
 def distinct_notebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,11 +163,14 @@ def distinct_notebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chunks(spark, sf_dir).select("notebook_id").distinct().agg(F.count("*").alias("notebooks"))
 
 
-QUERIES = {"ai_parsed_scores": parsed_scores, "ai_chunk_rollup": chunk_rollup, "ai_top_rationale": top_rationale, "ai_rule_join": rule_join, "ai_distinct_notebooks": distinct_notebooks}
+QUERIES = {"ai_parsed_scores": parsed_scores, "ai_chunk_rollup": chunk_rollup, "ai_top_rationale": top_rationale, "ai_rule_join": rule_join, "ai_drill_down": drill_down_riskiest, "ai_distinct_notebooks": distinct_notebooks}
 
 _DOC = ", ".join(DOCUMENT)
 _CLAMP = "CASE WHEN {0} IS NOT NULL THEN least(greatest({0}, 0), 100) END"
 _ENDS = "coalesce(list_aggregate(list_transform(list_sort(list_distinct(flatten(list(coalesce({0}, []))))), lambda e: e.endpoint), 'string_agg', '|'), '')"
+_JOINED = """WITH c AS (SELECT workspace_id, source_dated_partition, display_name, max(exfiltration_risk_score) AS exfiltration_risk_score, max(external_resource_access_score) AS external_resource_access_score,
+        min(notebook_id) AS notebook_id, first(rationale ORDER BY coalesce(exfiltration_risk_score, -1) DESC, coalesce(external_resource_access_score, -1) DESC, chunk_index, rationale DESC NULLS LAST) AS top_rationale FROM ai_chunks GROUP BY 1, 2, 3)
+        """
 ORACLE = {
     "ai_parsed_scores": f"""WITH p AS (SELECT DISTINCT notebook_id, chunk_index, assessed_at, ai_response, ai_error, CASE WHEN json_valid(ai_response) THEN TRY_CAST(json_extract_string(ai_response, '$.external_resource_access_score') AS INTEGER) END AS a,
           CASE WHEN json_valid(ai_response) THEN TRY_CAST(json_extract_string(ai_response, '$.exfiltration_risk_score') AS INTEGER) END AS x FROM ai_chunks),
@@ -144,8 +179,10 @@ ORACLE = {
     "ai_chunk_rollup": f"""SELECT notebook_id, content_hash, content_length, max(chunk_count) AS chunk_count, CAST(count(*) FILTER (ai_error IS NULL) AS INTEGER) AS chunks_parsed, CAST(count(ai_error) AS INTEGER) AS chunks_errored,
         max(external_resource_access_score) AS external_resource_access_score, max(exfiltration_risk_score) AS exfiltration_risk_score, {_ENDS.format("sources")} AS sources, {_ENDS.format("destinations")} AS destinations FROM ai_chunks GROUP BY {_DOC}""",
     "ai_top_rationale": f"""SELECT {_DOC}, rationale AS top_rationale FROM ai_chunks QUALIFY row_number() OVER (PARTITION BY {_DOC} ORDER BY coalesce(exfiltration_risk_score, -1) DESC, coalesce(external_resource_access_score, -1) DESC, chunk_index, rationale DESC NULLS LAST) = 1""",
-    "ai_rule_join": """WITH c AS (SELECT workspace_id, source_dated_partition, display_name, max(external_resource_access_score) AS external_resource_access_score, max(exfiltration_risk_score) AS exfiltration_risk_score FROM ai_chunks GROUP BY 1, 2, 3),
-        f AS (SELECT workspace_id, source_dated_partition, display_name, count(finding_type) AS finding_rows FROM scan_results GROUP BY 1, 2, 3)
-        SELECT c.*, f.finding_rows FROM c LEFT JOIN f ON c.workspace_id = f.workspace_id AND c.source_dated_partition = f.source_dated_partition AND c.display_name = f.display_name""",
+    "ai_rule_join": _JOINED + """SELECT s.workspace_id, s.source_dated_partition, s.display_name, s.severity, s.finding_type, s.category, c.exfiltration_risk_score, c.external_resource_access_score, c.top_rationale
+        FROM scan_results s LEFT JOIN c ON s.workspace_id = c.workspace_id AND s.source_dated_partition = c.source_dated_partition AND s.display_name = c.display_name""",
+    "ai_drill_down": """SELECT DISTINCT notebook_id, chunk_index, chunk_count, exfiltration_risk_score, external_resource_access_score, rationale, ai_error, assessed_at FROM ai_chunks
+        WHERE notebook_id = (SELECT notebook_id FROM ai_chunks WHERE notebook_id IS NOT NULL GROUP BY 1 HAVING max(exfiltration_risk_score) IS NOT NULL
+          ORDER BY max(exfiltration_risk_score) DESC, max(external_resource_access_score) DESC NULLS LAST, notebook_id LIMIT 1)""",
     "ai_distinct_notebooks": "SELECT count(*) AS notebooks FROM (SELECT DISTINCT notebook_id FROM ai_chunks)",
 }

@@ -11,10 +11,6 @@ from tessera.session import table
 _DISTINCT = "notebook_id"
 
 
-def _notebooks(condition: str) -> Column:
-    return F.countDistinct(F.when(F.expr(condition), F.col(_DISTINCT)))
-
-
 # The direction of each counter.
 DIRECTIONS = {"url_reads": "read", "url_writes": "write", "url_read_writes": "read_write", "url_references": "reference", "url_unknown": "unknown"}
 _PAIRS = (
@@ -26,13 +22,16 @@ _PAIRS = (
 
 
 def overview(f: DataFrame) -> DataFrame:
-    """One row of counters over the whole table."""
-    columns = [F.countDistinct(_DISTINCT).alias("notebooks_scanned")]
-    for rows, notebooks, condition in _PAIRS:
-        columns += [_n(F.expr(condition)).alias(rows), _notebooks(condition).alias(notebooks)]
-    columns.append(_n(F.col("error").isNotNull()).alias("error_rows"))
-    columns += [_n(F.col("direction") == d).alias(n) for n, d in DIRECTIONS.items()]
-    return f.agg(*columns)
+    """One row of counters over the whole table.
+
+    Counted per notebook first, so no row is multiplied for the distinct counts; rows without a notebook count as rows only.
+    """
+    rows = {r: F.expr(c) for r, _, c in _PAIRS} | {"error_rows": F.col("error").isNotNull()} | {n: F.col("direction") == d for n, d in DIRECTIONS.items()}
+    per = f.groupBy(_DISTINCT).agg(*[_n(c).alias(n) for n, c in rows.items()])
+    with_id = F.col(_DISTINCT).isNotNull()
+    notebooks = [F.count(_DISTINCT).alias("notebooks_scanned")] + [_n(with_id & (F.col(r) > 0)).alias(n) for r, n, _ in _PAIRS]
+    # no rows give zeros
+    return per.agg(*notebooks, *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in rows])
 
 
 def _counted(f: DataFrame, *keys) -> DataFrame:

@@ -190,8 +190,7 @@ def definition_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def first_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of the first generation's scan of every notebook source."""
-    s = _sources(spark, sf_dir).withColumn("kind", F.lit("code"))
-    return scan_texts(s, "source_id", "source_text", "kind")
+    return scan_texts(_sources(spark, sf_dir), "source_id", "path", "source_text")
 
 
 def fetch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:

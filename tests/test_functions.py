@@ -101,6 +101,10 @@ def test_json_walk():
     for _ in range(40):
         deep = {"a": deep}
     assert list(jsons.details(json.dumps(deep))) == []
+    doc = [{"linkedServiceName": "ls", "source": {"host": "h", "typeProperties": {}}, "note": {"deep": ["the Ledger"]}}]
+    found = list(jsons.structure(doc, ("LEDGER",)))
+    assert [f[:2] for f in found] == [("$[0]", "connection_reference"), ("$[0]", "pipeline_source"), ("$[0].note", "connection_reference")] and '"server": "h"' in found[1][2]
+    assert len(next(jsons.structure({"linkedServiceName": "x" * 5000}))[4]) == 400 and list(jsons.structure(3)) == []
     assert [d[1] for d in jsons.details("Server=tcp:db.example; https://a.b/x")] == ["url", "connection_string"]
 
 

@@ -2,18 +2,20 @@ from __future__ import annotations
 
 import base64
 import json
+import random
 
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from tessera.functions.quantiles import exclusive_quantiles
 from tessera.functions.rule_catalogue import RULES
 from tessera.operators import blocks as bl
 from tessera.operators.chunking import BOUNDARY, chunk_documents, cut_lines, pack
 from tessera.operators.datasources import artifacts, placeholders, using
 from tessera.operators.downloads import HANDLERS, classified, handler, manifest, outstanding, parts, resolve_types, source_part, split_plan
 from tessera.operators.latest import first_by_window, latest_row, latest_with_ties, upsert
-from tessera.operators.scan import Settings, nearest_direction, rule_hits, scan_block, scan_documents
+from tessera.operators.scan import Settings, direction, rule_hits, scan_block, scan_documents
 from tessera.plans.catalogue import finding_facts, split_valid
 from tessera.plans.scans import rule_totals, snippet_rule_totals
 
@@ -82,9 +84,12 @@ def test_benign(benign):
     assert not any(f[1] == "api_key_leak" for f in scan(benign))
 
 
-def test_nearest_direction():
+def test_directions_of_both_generations():
+    from tessera.operators.first_generation import closest
+
     t = "requests.get(1); requests.post('https://x"
-    assert nearest_direction(t, t.index("https")) == "write" and nearest_direction("https://x", 0) == "unknown"
+    assert (closest(t, t.index("https")), direction(t, t.index("https"), 300)) == ("write", "read_write")
+    assert closest("https://x", 0) == direction("https://x", 0, 300) == "unknown" and direction(t, t.index("https"), 24) == "write"
 
 
 def test_scan_documents_rows(spark):
@@ -193,7 +198,7 @@ def test_facts_are_stable_and_validated(spark):
 
 
 def test_first_generation_scan(spark):
-    from tessera.operators.first_generation import SECRETS, closest, masked, scan_text
+    from tessera.operators.first_generation import SECRETS, closest, masked, scan_text, scan_texts
 
     assert len(SECRETS) == 15 and masked("abc") == "***" and masked("a" * 12) == "aaaa****aaaa"
     t = "spark.read.json('https://a.example/x')\nrequests.post('https://b.example/y')\nrequests.post('https://b.example/y')\nPassword=abcd1234;\n"
@@ -201,6 +206,11 @@ def test_first_generation_scan(spark):
     assert [(f[0], f[1]) for f in found if f[0]] == [("https://a.example/x", "read"), ("https://b.example/y", "write")]
     assert {f[2] for f in found if f[1] == "unknown"} == {"SQL Password"} and sum(f[1] == "potential_write" for f in found) == 1
     assert closest("x https://a", 2) == "unknown" and all(f[1] != "potential_write" for f in scan_text(t, "markdown"))
+    cells = [{"cell_type": "code", "source": t, "outputs": [{"text": "https://c.example/z"}]}, {"cell_type": "markdown", "source": "see https://a.example/x"}]
+    df = spark.createDataFrame([(1, "a.ipynb", json.dumps({"cells": cells})), (2, "b.py", "x = 1"), (3, None, None)], "id int, path string, t string")
+    got = scan_texts(df, "id", "path", "t").collect()
+    assert {(r["source_kind"], r["direction"]) for r in got if r["id"] == 1 and r["url"]} == {("code", "read"), ("code", "write"), ("output", "reference"), ("markdown", "reference")}
+    assert [tuple(r)[1:] for r in got if r["id"] > 1] == [(None,) * 7] * 2
 
 
 def test_fan_out(spark):
@@ -247,3 +257,34 @@ def test_pending_and_first_candidate(spark):
     assert matching(m, name="^$").count() == 1 and matching(m, ids=["a"], target="").count() == 1 and matching(m).count() == 2
     with pytest.raises(ValueError):
         capped(m, 1)
+
+
+def test_findings_join_scores_of_their_document(spark):
+    from tessera.plans.audit import drill_down, riskiest_document, with_scores
+
+    findings = spark.createDataFrame([("w", "d", "n", "high", "pattern", "c"), ("w", "d", "n", "low", "url", "c"), ("w", None, "n", "low", "url", "c"), ("w", "d", "other", None, None, None)], "workspace_id string, source_dated_partition string, display_name string, severity string, finding_type string, category string")
+    documents = spark.createDataFrame([("w", "d", "n", 90, 10, "because", "i1"), ("w", None, "n", 99, 1, "undated", "i2"), ("w", "d", "none", 5, 5, "no findings", "i3")], "workspace_id string, source_dated_partition string, display_name string, exfiltration_risk_score int, external_resource_access_score int, top_rationale string, notebook_id string")
+    got = [(r["severity"], r["exfiltration_risk_score"], r["top_rationale"]) for r in with_scores(findings, documents).collect()]
+    assert sorted(got[:2]) == [("high", 90, "because"), ("low", 90, "because")] and sorted(got[2:], key=str) == [("low", None, None), (None, None, None)]
+    chunks = spark.createDataFrame([("i1", 0, None), ("i2", 1, None), ("i2", 0, None)], "notebook_id string, chunk_index int, assessed_at timestamp")
+    assert [tuple(r)[:2] for r in drill_down(chunks, riskiest_document(documents)).collect()] == [("i2", 0), ("i2", 1)]
+
+
+@pytest.mark.parametrize("threshold", ["-1", "10485760"])
+def test_quantiles_of_a_hot_group(spark, threshold):
+    import statistics
+
+    rng = random.Random(6)
+    data = [("hot", round(rng.gauss(0, 50), 2)) for _ in range(4000)] + [("hot", 3.0)] * 2000 + [("two", 1.0), ("two", 4.0), ("one", 7.0), (None, 2.0), (None, 3.0), ("none", None)]
+    df = spark.createDataFrame(data, "g string, v double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        got = {r["g"]: (r["p50"], r["p95"], r["p99"]) for r in exclusive_quantiles(df, "v", (0.5, 0.95, 0.99), ["g"]).collect()}
+        values = [v for g, v in data if g == "hot"]
+        cuts = statistics.quantiles(values, n=100, method="exclusive")
+        assert got["hot"] == pytest.approx((cuts[49], cuts[94], cuts[98])) and got["two"] == pytest.approx((2.5, 4.0, 4.0)) and got["one"] == (7.0,) * 3 and got[None][0] == 2.5 and "none" not in got
+        everything = exclusive_quantiles(df, "v", (0.5,)).collect()
+        assert [r["p50"] for r in everything] == pytest.approx([statistics.median([v for _, v in data if v is not None])])
+        assert exclusive_quantiles(df.limit(0), "v", (0.5,)).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
