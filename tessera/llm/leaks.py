@@ -5,11 +5,13 @@ with at most a tenth of them changed, added or left out.  Both sides are cut
 into item-sized windows at every word.  The CGK embedding walks through a window
 and turns word edits into few differing symbols; sampling symbols of several
 independent walks gives hash keys under which similar windows meet.  Every
-meeting is then verified by exact edit distance.
+meeting is then verified by exact edit distance.  Equal windows, of items as of documents, meet and are verified
+once; what they find is handed to all of their owners afterwards.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,6 +27,8 @@ from tessera.session import table
 BLOCK_WORDS = 2_000_000
 #: Document words handled at once inside a task.
 BATCH_WORDS = 400_000
+#: Meetings verified at once inside a task.
+BATCH_MEETINGS = 2_000_000
 _BITMAP = 1 << 22
 
 
@@ -126,7 +130,11 @@ class Index:
             at += len(ids) + s.size + s.errors
         self.vocabulary = Vocabulary(known)
         self.ids = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        self.starts, self.owner = np.array(starts, np.int64), np.array(owner, np.int64)
+        # one window stands for all equal ones; their items are members[bounds[w] : bounds[w + 1]]
+        self.starts, of = distinct_windows(self.ids, np.array(starts, np.int64), s.size)
+        both = np.unique(of * max(1, len(items)) + np.array(owner, np.int64))
+        self.members = both % max(1, len(items))
+        self.bounds = np.searchsorted(both, np.arange(len(self.starts) + 1) * max(1, len(items)))
         self.first = self.ids[self.starts] if len(self.starts) else np.zeros(0, np.int64)
         self.walks = Walks(s, len(known))
         self.tables = []
@@ -159,24 +167,29 @@ class Index:
         upto = np.minimum(starts + s.size, len(hit))
         return starts[total[upto] - total[starts] >= s.size - 2 - 3 * s.errors]
 
-    def meetings(self, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct (document window, item window) pairs that share a key of any walk and begin with the same word, as a verified pair must."""
-        pairs, first = [], ids[starts]
-        for w, (keys, order) in enumerate(self.tables):
+    def meetings(self, ids: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Distinct (document window, item window) pairs that share a key of any walk and begin with the same word, as a verified pair must.
+
+        They come in batches of about BATCH_MEETINGS, however often a key occurs.
+        """
+        ranges = []
+        for w, (keys, _) in enumerate(self.tables):
             mine = self.walks.keys(ids, starts, w)
-            lo, hi = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
-            n = hi - lo
-            if n.any():
-                doc = np.repeat(np.arange(len(starts)), n)
-                within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                window = order[np.repeat(lo, n) + within]
+            ranges.append((np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")))
+        load = np.cumsum(sum(hi - lo for lo, hi in ranges)) if ranges else np.zeros(0, np.int64)
+        first, at = ids[starts], 0
+        while at < len(load):
+            upto = max(at + 1, int(np.searchsorted(load, (load[at - 1] if at else 0) + BATCH_MEETINGS, "right")))
+            pairs = []
+            for (lo, hi), (_, order) in zip(ranges, self.tables):
+                low, n = lo[at:upto], (hi - lo)[at:upto]
+                doc = np.repeat(np.arange(at, upto), n)
+                window = order[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
                 same = first[doc] == self.first[window]
                 pairs.append(doc[same] * len(self.starts) + window[same])
-        if not pairs:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        both = np.sort(np.concatenate(pairs))
-        both = both[np.append(True, both[1:] != both[:-1])] if len(both) else both
-        return starts[both // len(self.starts)], both % len(self.starts)
+            both = np.unique(np.concatenate(pairs))
+            yield both // len(self.starts), both % len(self.starts)
+            at = upto
 
     def search(self, texts: list[str]) -> Iterator[tuple[int, int]]:
         """(number of the text, item id) of every text with a passage of an item."""
@@ -191,20 +204,60 @@ class Index:
             firsts.append(filled)
             filled += len(batch[-2]) + len(gap)
             if filled >= BATCH_WORDS or k == len(texts) - 1:
-                yield from ((done + d, i) for d, i in self._found(np.concatenate(batch), np.array(firsts)))
+                for docs, items in self._found(np.concatenate(batch), np.array(firsts)):
+                    yield from ((done + d, self.item[i]) for d, i in zip(docs.tolist(), items.tolist()))
                 batch, firsts, done, filled = [], [], k + 1, 0
 
-    def _found(self, ids: np.ndarray, firsts: np.ndarray) -> list[tuple[int, int]]:
-        starts = self.windows(ids)
-        if not len(starts) or not self.tables:
-            return []
-        at, window = self.meetings(ids, starts)
-        ok = similar(self.ids, self.starts[window], ids, at, self.s.size, self.s.errors)
-        docs = np.searchsorted(firsts, at[ok], "right") - 1
-        return sorted({(int(d), self.item[int(o)]) for d, o in zip(docs, self.owner[window[ok]])})
-
-
-_indexes: dict[int, Index] = {}
+    def _found(self, ids: np.ndarray, firsts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Numbers of documents and items that share a passage, each pair once, in batches of documents."""
+        every = self.windows(ids)
+        if not len(every) or not self.tables:
+            return
+        # what is verified reaches size + errors words beyond the start
+        starts, of = distinct_windows(ids, every, self.s.size + self.s.errors)
+        hits = [np.zeros(0, np.int64)]
+        for doc, window in self.meetings(ids, starts):
+            ok = similar(self.ids, self.starts[window], ids, starts[doc], self.s.size, self.s.errors)
+            hits.append(doc[ok] * len(self.starts) + window[ok])
+        hit = np.sort(np.concatenate(hits))
+        # from distinct windows to the documents that hold them: (document, item window) pairs
+        lo, hi = np.searchsorted(hit, of * len(self.starts)), np.searchsorted(hit, (of + 1) * len(self.starts))
+        owner, at = np.searchsorted(firsts, every, "right") - 1, 0
+        weight = np.diff(self.bounds)
+        sums = np.concatenate([[0], np.cumsum(weight[hit % len(self.starts)])])
+        load = np.cumsum(sums[hi] - sums[lo])
+        while at < len(of):
+            upto = int(np.searchsorted(load, (load[at - 1] if at else 0) + BATCH_MEETINGS, "right"))
+            upto = int(np.searchsorted(owner, owner[max(at, upto - 1)], "right"))  # whole documents
+            n = (hi - lo)[at:upto]
+            window = hit[np.repeat(lo[at:upto], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)] % len(self.starts)
+            held = np.unique(np.repeat(owner[at:upto], n) * len(self.starts) + window)
+            doc, window = held // len(self.starts), held % len(self.starts)
+            n = weight[window]
+            items = self.members[np.repeat(self.bounds[window], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+            both = np.unique(np.repeat(doc, n) * len(self.item) + items)
+            yield both // len(self.item), both % len(self.item)
+            at = upto
+
+
+def distinct_windows(ids: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of one window of each content, and for every given start the number of the window that stands for it."""
+    if not len(starts):
+        return starts, starts
+    content = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(ids.astype(np.int32), size)[starts])
+    _, one, of = np.unique(content.view(f"V{4 * size}").ravel(), return_index=True, return_inverse=True)
+    return starts[one], of.ravel().astype(np.int64)
+
+
+#: The index of the block that this worker met last, so it is built once a worker and block, not once a task.
+_last: dict[tuple, Index] = {}
+
+
+def _index_of(number: tuple, block: list[tuple[int, str]], s: Settings) -> Index:
+    if number not in _last:
+        _last.clear()
+        _last[number] = Index(block, s)
+    return _last[number]
 
 
 def leaked_items(docs: DataFrame, items: DataFrame, settings: Settings | None = None) -> DataFrame:
@@ -213,21 +266,21 @@ def leaked_items(docs: DataFrame, items: DataFrame, settings: Settings | None =
     ``docs`` has doc_id and text, ``items`` item_id and text; other columns are
     ignored.  NULL texts, blank texts and items shorter than the passage size give no rows.
     Items come to the driver in blocks of at most BLOCK_WORDS words; all documents
-    are read once for each block.  Nothing is shuffled but the result.
+    are read once for each block.  Nothing is shuffled but the result.  A passage's first and last word must be the item's own:
+    an edit at its end leaves a shorter agreement.
     """
     s, spark = settings or Settings(), docs.sparkSession
     texts = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text")
     kind = {f.name: f.dataType.simpleString() for f in items.schema}["item_id"]
     doc_kind = {f.name: f.dataType.simpleString() for f in docs.schema}["doc_id"]
     found = spark.createDataFrame([], f"doc_id {doc_kind}, item_id {kind}")
-    for block in _blocks(items):
+    call = uuid.uuid4().hex
+    for n, block in enumerate(_blocks(items)):
         shared = spark.sparkContext.broadcast(block)
 
-        def run(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            index = None
+        def run(frames: Iterator[pd.DataFrame], shared=shared, number=(call, n)) -> Iterator[pd.DataFrame]:
             for pdf in frames:
-                if index is None:
-                    index = Index(shared.value, s)
+                index = _index_of(number, shared.value, s)
                 rows = [(pdf["doc_id"].iloc[d], i) for d, i in index.search(list(pdf["text"]))]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id"])
 

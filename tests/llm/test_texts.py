@@ -121,6 +121,48 @@ def test_one_window_meets_its_item():
     assert met >= 0.9 * 150
 
 
+def test_many_items_and_documents_share_a_passage(spark, monkeypatch):
+    import tessera.llm.leaks as leaks
+
+    shared = " ".join(passage(30))
+    items = [(i, shared if i % 2 else shared + f" own{i} words{i}") for i in range(10_000)] + [(20_000, " ".join(passage(40)))]
+    index = Index(items, Settings())
+    assert len(index.starts) < 22 + 3 * 5000 + 21 and len(index.members) >= 10_000 * 11
+    texts = [" ".join(edited(shared.split(), 1)), "nothing", "a b " + shared, shared, " ".join(passage(30)), shared]
+    for batch in (100_000, 2_000_000):
+        monkeypatch.setattr(leaks, "BATCH_MEETINGS", batch)
+        got = list(index.search(texts))
+        assert len(got) == len(set(got)) and {d for d, _ in got} == {0, 2, 3, 5}
+        assert all({i for k, i in got if k == d} == set(range(10_000)) for d in (0, 2, 3, 5))
+
+
+@pytest.mark.parametrize("kind", ["change", "insert", "delete", "two changes", "change and insert"])
+def test_recall_by_kind_of_edit(kind):
+    index, found = Index(ITEMS[:30], Settings()), 0
+    for n in range(100):
+        item, text = ITEMS[n % 30]
+        words = text.split()
+        at = rng.randrange(len(words) - 22 + 1)
+        part, p = words[at : at + 22], rng.randrange(3, 19)
+        if kind != "insert" and kind != "delete":
+            part[p] = "changed"
+        if "insert" in kind:
+            part.insert(p - 1, "added")
+        if kind == "delete":
+            del part[p]
+        if kind == "two changes":
+            part[(p + 7) % 16 + 2] = "other"
+        found += (0, item) in set(index.search([" ".join(passage(5) + part + passage(30))]))
+    assert found >= 90
+
+
+def test_an_edit_at_the_end_leaves_a_shorter_agreement():
+    item, text = max(ITEMS, key=lambda x: len(x[1]))
+    words, index = text.split()[:20], Index([(item, text)], Settings())
+    assert list(index.search([" ".join(words + ["x"] * 30)])) == [(0, item)]
+    assert list(index.search([" ".join(["changed", *words[1:]] + ["x"] * 30)])) == list(index.search([" ".join(words[:19] + ["x"] * 30)])) == []
+
+
 def test_the_gate_loses_no_window():
     ix = Index(ITEMS, Settings())
     for _ in range(200):
