@@ -1,10 +1,11 @@
 """Credentials in source text: where they begin, and the text without them.
 
-Literals near an assignment, a credential word, a header, a flag or an address
-are candidates.  A candidate's letters are segmented into dictionary words by
-Viterbi; what no word explains is its residual.  Long residuals become secrets,
-unless they are hashes, ids, paging tokens or public keys; a value in a
-password's own place counts whatever its words are.
+Literals in an assignment's place (names, headers, flags, addresses, calls, issuers' forms, plain assignments) are
+candidates.  A candidate's letters are segmented into dictionary words by
+Viterbi; what no word explains is its residual, and a residual that is long for its place makes it a secret: a few
+characters in a password's own place, where people combine words, many in a credential's, more elsewhere.
+Formats that are long by nature and no secrets are left out: hashes, GUIDs, key ids, addresses, and what is named a
+paging token, a public key, an id or a medium.
 """
 
 from __future__ import annotations
@@ -34,28 +35,40 @@ READABLE = 20
 class Dictionary:
     """Words with costs from a public vocabulary: its whole words, a frequent one costing less."""
 
+    #: Cost of a letter that belongs to no word, and what a word of three letters within a run costs beyond its rank.
+    UNKNOWN, SHORT = 5.0, 3.0
+
     def __init__(self, path: str) -> None:
         self.cost: dict[str, float] = {}
         with open(path, "rb") as f:
             for line in f:
                 token, rank = line.split()
                 word = base64.b64decode(token).decode("utf-8", "replace")
-                if word[:1] == " " and len(word) >= 5 and word[1:].isalpha() and word.isascii():
+                if word[:1] == " " and len(word) >= 3 and word[1:].isalpha() and word.isascii():
                     self.cost.setdefault(word[1:].lower(), math.log(int(rank) + 2))
         self.longest = max(map(len, self.cost), default=0)
 
     def explained(self, run: str) -> int:
-        """Letters of a run that the cheapest segmentation covers with words; a word is lower case, capitalised or upper case."""
-        low, n, unknown = run.lower(), len(run), 5.0
+        """Letters of a run that the cheapest segmentation covers with words.
+
+        A word is lower case, capitalised or upper case and has three letters at least; shorter ones count only as
+        the whole run, and a single letter stands for itself.
+        """
+        low, n = run.lower(), len(run)
+        if n == 1 or n <= 3 and low in self.cost:
+            return n
         best, used = [0.0] * (n + 1), [0] * (n + 1)
         for end in range(1, n + 1):
-            best[end], used[end] = best[end - 1] + unknown, used[end - 1]
-            for start in range(max(0, end - self.longest), end - 3):
+            best[end], used[end] = best[end - 1] + self.UNKNOWN, used[end - 1]
+            for start in range(max(0, end - self.longest), end - 2):
                 c = self.cost.get(low[start:end])
-                if c is not None and best[start] + c < best[end]:
+                if c is None:
+                    continue
+                c += best[start] + (self.SHORT if end - start == 3 else 0.0)
+                if c < best[end]:
                     word = run[start:end]
                     if word[1:].islower() or word.isupper():
-                        best[end], used[end] = best[start] + c, used[start] + end - start
+                        best[end], used[end] = c, used[start] + end - start
         return used[n]
 
 
@@ -70,7 +83,7 @@ def dictionary(path: str) -> Dictionary:
 def residual(value: str, words: Dictionary) -> int:
     """Letters and digits that no dictionary word explains."""
     solid = sum(c.isalnum() for c in value)
-    return solid - sum(words.explained(m.group()) for m in _LETTERS.finditer(value) if len(m.group()) >= 4)
+    return solid - sum(words.explained(m.group()) for m in _LETTERS.finditer(value))
 
 
 # ---------------------------------------------------------------- candidates
@@ -78,60 +91,57 @@ def residual(value: str, words: Dictionary) -> int:
 _Q = r"""\\{0,3}(?:\"\"\"|'''|["'`])"""
 _BARE = r"""[^\s"'`\\;,<>)\]}|]+"""
 _IN = r"""[^\s"'`\\]{3,}?"""
-#: Values that name another place or stand for a value to come.
-_PLACEHOLDER = re.compile(
-    r"""(?ix) ^(?: [<{\[(%$] | \#\{ | os\.(?:environ|getenv) | process\.env | env[.:(\[] | dbutils\. | mssparkutils\. | notebookutils\. | getpass | vault[.:] | var\. | secrets?\. | config[.\[]
-      | (?:replace|change|insert|enter|your|put|todo|dummy|sample|example|placeholder|none|null|true|false|undefined|redacted|masked|hidden|removed|xxx)(?:$|[\W_]|me\b|d\b) )
-      | your[-_ ]?(?:key|token|password|secret) | ^(.)\1*$ | ^\.+$ """
-)
 _MASK = re.compile(r"\*{3,}|…|\.{3,}|\[REDACTED\]|<redacted>|[xX]{8,}|•{3,}|#{4,}")
-_EXPRESSION = re.compile(r"^[A-Za-z_][\w.]*(?:\(|\[)|\(\)$")
-_DOTTED = re.compile(r"^[A-Za-z_]+(?:\.[A-Za-z_]+)+$")
 _GUID = re.compile(r"^[{(]?[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}[)}]?$")
 #: Lengths in hex digits of the usual hashes (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512).
 _HASHES = {32, 40, 56, 64, 96, 128}
 _HEX = re.compile(r"^[0-9A-Fa-f]+$")
 _KEY_ID = re.compile(r"^(?:AKIA|ASIA)[0-9A-Z]{16}$")
 _HASH_KEY = re.compile(r"(?i)(?:\bsha[-_]?\d*|md5|hash|etag|\bcommit|digest|checksum|revision|fingerprint|integrity|\bcrc\d*)(?:[_-]\w+)?\W{0,6}(?:W/)?\W{0,4}$")
+#: What a random value is named that opens nothing.
 _OTHER_KEY = re.compile(
     r"(?i)(?:continuation|paging|page|next|cursor|skip|sync|public|pub|csrf)[_-]?(?:token|key|marker|link)\W{0,8}$"
-    r"|(?:guid|uuid|workspace|tenant|item|object)(?:[_-]?id)?\W{0,8}$"
-    r"|(?:name|[_-]id|[_-]count|[_-]limit|length|[_-]size|[_-]type|scope|[_-]path|[_-]url|[_-]uri|[_-]file|hint|version|key_?id|access_?key_?id)\W{0,8}$"
+    r"|(?:guid|uuid|[_-]id|\bid|version)\W{0,8}$"
     r"|base64,$|ssh-[\w-]+ $|PUBLIC KEY-----\s*$"
     r"|(?:image|audio|video|font)/[\w.+-]+\W{1,8}$|application/pdf\W{1,8}$"
 )
+_ADDRESS = ("http:", "https:", "data:", "abfss:")
 #: Issuers' own forms of tokens.
 _ISSUED = r"(?:sk-(?:proj-|ant-)?|gh[pousr]_|github_pat_|glpat-|xox[abeoprs]-|xapp-|dapi|AIza|ya29\.|shp(?:at|ss)_|npm_|pypi-|hf_|SG\.|rk_live_|sk_live_|eyJ)"
 
-#: (strength, words it begins with, pattern); the group v or w is the value, else the whole match.
-#: Strength 3: a password's place; 2: a credential's; 1: a plain literal's.
+PASSWORD, CREDENTIAL, PLAIN = 3, 2, 1
+#: Unexplained characters from which a literal in each place is a secret.
+NEEDED = {PASSWORD: 1, CREDENTIAL: 12, PLAIN: 12}
+#: (place, words it begins with, pattern); the group v or w is the value, else the whole match.
 FORMS: tuple[tuple[int, str, str], ...] = (
     # address with user and password
-    (3, "://", r"""://[^\s/:@"'\\]{1,80}:(?P<v>[^\s/@"'\\]{3,}(?:\['\w+'\])?)@"""),
+    (PASSWORD, "://", r"""://[^\s/:@"'\\]{1,80}:(?P<v>[^\s/@"'\\]{3,}(?:\['\w+'\])?)@"""),
     # a password by its name: pw="v", password: v, 'passwd'] = v, PASSWORD = 'v'
-    (3, "pass pwd pw kennwort contrase", rf"""(?i:pass(?:word|wd|phrase|code)?|pwd|\bpw|kennwort|contrase[nñ]a)(?!\w*(?i:name|id|hint|policy|length))\w{{0,12}}(?:{_Q})?\]?\s*(?:=>|:=|[:=])\s*(?:[rbuf]?{_Q}(?P<v>{_IN}){_Q}|(?P<w>{_BARE}))"""),
+    (PASSWORD, "pass pwd pw kennwort contrase", rf"""(?i:pass(?:word|wd|phrase|code)?|pwd|\bpw|kennwort|contrase[nñ]a)(?!\w*(?i:name|id|hint|policy|length))\w{{0,12}}(?:{_Q})?\]?\s*(?:=>|:=|[:=])\s*(?:[rbuf]?{_Q}(?P<v>{_IN}){_Q}|(?P<w>{_BARE}))"""),
+    # what is called a secret: people choose them as they do passwords
+    (PASSWORD, "secret", rf"""(?i:secret)(?:{_Q})?\]?\s*(?:=>|:=|[:=])\s*(?:[rbuf]?{_Q}(?P<v>{_IN}){_Q}|(?P<w>{_BARE}))"""),
     # a password after a blank: login x password v, PASSWORD 'v'
-    (3, "password identified convertto-securestring", rf"""(?i:password|identified\s+by|ConvertTo-SecureString)\s+(?:by\s+)?(?:{_Q}(?P<v>{_IN}){_Q}|(?P<w>[^\s"'`\\;,<>()=-][^\s"'`\\;,<>()=]{{5,}})(?=\s*(?:$|\\|[;,\n])|\s{{2}}))"""),
+    (PASSWORD, "password identified convertto-securestring", rf"""(?i:password|identified\s+by|ConvertTo-SecureString)\s+(?:by\s+)?(?:{_Q}(?P<v>{_IN}){_Q}|(?P<w>[^\s"'`\\;,<>()=-][^\s"'`\\;,<>()=]{{5,}})(?=\s*(?:$|\\|[;,\n])|\s{{2}}))"""),
     # flags: -p v, -p 'v', -u user:v, --password v
-    (3, "-p --pass", rf"""(?<![\w-])(?:-p|--pass(?:word|wd|phrase)?)[\s=]+(?:{_Q}(?P<v>{_IN}){_Q}|(?P<w>{_BARE}))"""),
-    (3, "-u --user", rf"""(?<![\w-])(?:-u|--user)[\s=]+(?:{_Q})?[\w.@-]+:(?P<w>{_BARE})"""),
+    (PASSWORD, "-p --pass", rf"""(?<![\w-])(?:-p|--pass(?:word|wd|phrase)?)[\s=]+(?:{_Q}(?P<v>{_IN}){_Q}|(?P<w>{_BARE}))"""),
+    (PASSWORD, "-u --user", rf"""(?<![\w-])(?:-u|--user)[\s=]+(?:{_Q})?[\w.@-]+:(?P<w>{_BARE})"""),
     # user and password side by side in a call: login('ops', "v"), auth=("ci", "v")
-    (3, "login log_in signin connect auth credential", rf"""(?i:login|log_in|signin|connect|auth|authenticate|credentials?)\w*\s*=?\s*\(\s*{_Q}[\w.@-]+{_Q}\s*,\s*{_Q}(?P<v>{_IN}){_Q}"""),
+    (PASSWORD, "login log_in signin connect auth credential", rf"""(?i:login|log_in|signin|connect|auth|authenticate|credentials?)\w*\s*=?\s*\(\s*{_Q}[\w.@-]+{_Q}\s*,\s*{_Q}(?P<v>{_IN}){_Q}"""),
     # key id and key
-    (2, "akia asia", rf"""(?:AKIA|ASIA)[0-9A-Z]{{16}}{_Q}\s*,\s*{_Q}(?P<v>{_IN}){_Q}"""),
+    (CREDENTIAL, "akia asia", rf"""(?:AKIA|ASIA)[0-9A-Z]{{16}}{_Q}\s*,\s*{_Q}(?P<v>{_IN}){_Q}"""),
     # authorization headers
-    (2, "bearer basic token apikey", rf"""(?i:\b(?:bearer|basic|token|apikey))[ ]+(?P<w>{_BARE})"""),
+    (CREDENTIAL, "bearer basic token apikey", rf"""(?i:\b(?:bearer|basic|token|apikey))[ ]+(?P<w>{_BARE})"""),
     # a credential by its name
-    (2, "secret token key sig auth jwt access credential sas", rf"""(?i:secret|token|key|signature|sig|auth|jwt|access|credential|sas)(?![_-]?(?i:name|id|count|limit|length|size|type|scope|path|url|uri|file|vault)s?\b)\w{{0,4}}(?:{_Q})?\]?\s*(?:=>|:=|[:=])\s*(?:[rbuf]?{_Q}(?P<v>{_IN}){_Q}|(?P<w>{_BARE}))"""),
-    (2, "--", rf"""(?<![\w-])--[\w-]*(?:key|token|secret|sig)[\s=]+(?:{_Q}(?P<v>{_IN}){_Q}|(?P<w>{_BARE}))"""),
+    (CREDENTIAL, "secret token key sig auth jwt access credential sas", rf"""(?i:secret|token|key|signature|sig|auth|jwt|access|credential|sas)\w{{0,4}}(?:{_Q})?\]?\s*(?:=>|:=|[:=])\s*(?:[rbuf]?{_Q}(?P<v>{_IN}){_Q}|(?P<w>{_BARE}))"""),
+    (CREDENTIAL, "--", rf"""(?<![\w-])--[\w-]*(?:key|token|secret|sig)[\s=]+(?:{_Q}(?P<v>{_IN}){_Q}|(?P<w>{_BARE}))"""),
     # an account key in a call: set("fs.account.key.x", "v")
-    (2, "account.key .secret .password .token", rf"""(?i:account\.key|\.secret|\.password|\.token)[\w.-]*{_Q}\s*,\s*{_Q}(?P<v>{_IN}){_Q}"""),
+    (CREDENTIAL, "account.key .secret .password .token", rf"""(?i:account\.key|\.secret|\.password|\.token)[\w.-]*{_Q}\s*,\s*{_Q}(?P<v>{_IN}){_Q}"""),
     # webhook paths
-    (2, "/hook /webhook /services/", r"""(?i:/(?:hooks?|webhooks?|services)/)(?:[A-Z]\w{2,14}/)*(?P<v>[\w…*=%~-]{8,})(?![\w/])"""),
+    (CREDENTIAL, "/hook /webhook /services/", r"""(?i:/(?:hooks?|webhooks?|services)/)(?:[A-Z]\w{2,14}/)*(?P<v>[\w…*=%~-]{8,})(?![\w/])"""),
     # issuers' forms, wherever they stand
-    (2, "sk- ghp_ gho_ ghu_ ghs_ ghr_ github_pat_ glpat- xox xapp- dapi aiza ya29. shpat_ shpss_ npm_ pypi- hf_ sg. rk_live_ sk_live_ eyj", rf"""(?<![A-Za-z0-9_/+]){_ISSUED}[\w.…*~+/=-]{{2,}}"""),
+    (CREDENTIAL, "sk- ghp_ gho_ ghu_ ghs_ ghr_ github_pat_ glpat- xox xapp- dapi aiza ya29. shpat_ shpss_ npm_ pypi- hf_ sg. rk_live_ sk_live_ eyj", rf"""(?<![A-Za-z0-9_/+]){_ISSUED}[\w.…*~+/=-]{{2,}}"""),
     # name and value of a setting: name="x" value="v"
-    (1, "value content", rf"""(?i:value|content)(?:{_Q})?\s*[:=]\s*{_Q}(?P<v>{_IN}){_Q}"""),
+    (PLAIN, "value content", rf"""(?i:value|content)(?:{_Q})?\s*[:=]\s*{_Q}(?P<v>{_IN}){_Q}"""),
 )
 #: Any other literal of this length may be a secret when it is assigned to something.
 _LONG = re.compile(r"(?<![\w+/=~*…-])[\w+/=~*…-]{20,}(?![\w+/=~*…-])")
@@ -144,10 +154,10 @@ def _automaton():
     import ahocorasick
 
     by_word: dict[str, list[tuple[int, re.Pattern]]] = {}
-    for strength, firsts, pattern in FORMS:
+    for place, firsts, pattern in FORMS:
         compiled = re.compile(pattern)
         for w in firsts.split():
-            by_word.setdefault(w, []).append((strength, compiled))
+            by_word.setdefault(w, []).append((place, compiled))
     a = ahocorasick.Automaton()
     for w, forms in by_word.items():
         a.add_word(w, (len(w), tuple(forms)))
@@ -179,45 +189,23 @@ class Secret:
     line: int
 
 
-def _mixed(v: str) -> bool:
-    """Whether a literal mixes cases and digits as drawn ones do."""
-    return any(c.isdigit() for c in v) and any(c.islower() for c in v) and any(c.isupper() for c in v)
-
-
-def _counts(value: str, strength: int, before: str, words: Dictionary) -> bool:
-    """Whether a candidate is a secret."""
+def _counts(value: str, place: int, before: str, words: Dictionary) -> bool:
+    """Whether a candidate is a secret: no known format, and more unexplained characters than its place allows."""
     v = value.strip()
-    if len(v) < 4 or "\n" in v:
+    if len(v) < 6 or "\n" in v or _GUID.match(v) or _KEY_ID.match(v) or v.startswith(_ADDRESS):
         return False
-    if _MASK.search(v):
-        runs = [r for r in _MASK.split(v) if r]
-        longest = max(map(len, runs), default=0)
-        if longest < READABLE:
-            return False
-        # what was masked was held for a secret; only a hash, an id or a name doesn't count
-        return strength == 3 or not _OTHER_KEY.search(before) and not _HASH_KEY.search(before) and (strength == 2 or residual(max(runs, key=len), words) >= 12)
-    if _PLACEHOLDER.search(v) or _GUID.match(v) or _KEY_ID.match(v):
-        return False
-    if strength == 3:
-        # in a password's place any literal counts that is no call, no name and no address
-        return len(v) >= 6 and not _EXPRESSION.search(v) and not _DOTTED.match(v) and "://" not in v and (any(c.isdigit() or not c.isalnum() for c in v) or residual(v, words) >= 6)
-    if _HASH_KEY.search(before) or _OTHER_KEY.search(before) or _EXPRESSION.search(v):
+    if place != PASSWORD and (v.isdigit() or _HASH_KEY.search(before) or _OTHER_KEY.search(before)):
         return False
-    if _DOTTED.match(v) and residual(v, words) < 20:
+    if place == PLAIN and (len(v) < 20 or "://" in v or _HEX.match(v) and len(v) in _HASHES):
         return False
-    left = residual(v, words)
-    if strength == 2:
-        if v.startswith(("http:", "https:", "data:", "abfss:")) or v.startswith("/") and residual(v, words) < 20:
+    hidden = 0
+    if _MASK.search(v):
+        runs = [r for r in _MASK.split(v) if r]
+        if max(map(len, runs), default=0) < READABLE:
             return False
-        if _HEX.match(v):
-            return len(v) >= 16 and not v.isdigit()
-        if left >= 12 and (any(c.isdigit() for c in v) or left >= 20):
-            return True
-        # under the name of a secret: what people choose as passwords, words with a number or a mark, or no words at all
-        return len(v) >= 10 and bool(re.search(r"(?i)secret\W*$", before)) and (left >= 10 or any(c.isdigit() or c in "!#$%&*+@^~" for c in v))
-    if _HEX.match(v) and len(v) in _HASHES or "://" in v or v.startswith("data:"):
-        return False
-    return len(v) >= 20 and left >= 16 and left >= 0.7 * sum(c.isalnum() for c in v) and _mixed(v)
+        hidden = len(v) - sum(map(len, runs))  # no word explains what was masked
+    left = residual(v, words) + hidden
+    return left >= NEEDED[place] and (place != PLAIN or left >= 0.5 * sum(c.isalnum() for c in v))
 
 
 _QUOTES = ("'", '"', "`", "\\")
@@ -234,7 +222,7 @@ def find(text: str, words: Dictionary) -> list[Secret]:
                 spans.append((m.start(), m.start("body"), m.end("body")))
             shut.append(m.span())
 
-    def consider(strength: int, a: int, b: int, bare: bool) -> None:
+    def consider(place: int, a: int, b: int, bare: bool) -> None:
         if any(x <= a < y for x, y in shut):
             return
         value = text[a:b]
@@ -247,16 +235,16 @@ def find(text: str, words: Dictionary) -> list[Secret]:
                 b, value = glued.end("v"), value + glued.group("v")
                 glued = _GLUED.match(text, b)
         before = text[max(text.rfind("\n", 0, a) + 1, a - 60) : a]
-        if _counts(value, strength, before, words):
+        if _counts(value, place, before, words):
             spans.append((a, a, b))
 
     for last, (n, forms) in _automaton().iter(_lower(text)):
-        for strength, form in forms:
+        for place, form in forms:
             m = form.match(text, last - n + 1)
             if m:
                 quoted = m.groupdict().get("v") is not None
                 a, b = m.span("v" if quoted else "w" if "w" in form.groupindex else 0)
-                consider(strength, a, b, not quoted)
+                consider(place, a, b, not quoted)
     for m in _LONG.finditer(text):
         a, b = m.span()
         token = m.group()
@@ -267,8 +255,7 @@ def find(text: str, words: Dictionary) -> list[Secret]:
             assigned = _ASSIGNED.search(text, max(0, a - 16), a)
             if not assigned or (assigned.group("q") is None) == (text[b : b + 1] in _QUOTES and b < len(text)):
                 continue
-        if len(token) >= 20 and (_MASK.search(token) or not token.islower() and not token.isupper()):
-            consider(1, a, b, False)
+        consider(PLAIN, a, b, False)
     out: list[Secret] = []
     counted = line = 0
     for begin, a, b in sorted(spans, key=lambda s: (s[1], -s[2])):
