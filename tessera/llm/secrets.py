@@ -246,8 +246,9 @@ def find(text: str, words: Dictionary) -> list[Secret]:
                 a, b = m.span("v" if quoted else "w" if "w" in form.groupindex else 0)
                 consider(place, a, b, not quoted)
     for m in _LONG.finditer(text):
-        a, b = m.span()
-        token = m.group()
+        b = m.end()
+        token = m.group().lstrip("=")  # what assigns it is no part of it
+        a = b - len(token)
         name, equals, rest = token.partition("=")
         if equals and rest.strip("=") and name.isidentifier():
             a, token = a + len(name) + 1, rest

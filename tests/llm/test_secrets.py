@@ -153,6 +153,11 @@ def test_flags_that_begin_a_text_are_scanned(spark, text):
     assert [(r["line_no"], r["redacted_text"]) for r in scan_secrets(df).collect()] == [(1, text.replace("Kelp!x12", REDACTED))]
 
 
+def test_the_sign_that_assigns_stays():
+    line = f"Server=x;password =Juniper+Research7881;token ={KEY};"
+    assert redact(line, find(line, W)) == f"Server=x;password ={REDACTED};token ={REDACTED};"
+
+
 def test_several_on_one_line_and_windows_ends():
     text = f'a = 1\r\npassword="{PASS}"; token = "{KEY}"\r\n'
     found = find(text, W)
