@@ -130,7 +130,7 @@ FORMS: tuple[tuple[int, str, str], ...] = (
     # key id and key
     (CREDENTIAL, "akia asia", rf"""(?:AKIA|ASIA)[0-9A-Z]{{16}}{_Q}\s*,\s*{_Q}(?P<v>{_IN}){_Q}"""),
     # authorization headers
-    (CREDENTIAL, "bearer basic token apikey", rf"""(?i:\b(?:bearer|basic|token|apikey))[ ]+(?P<w>{_BARE})"""),
+    (CREDENTIAL, "bearer basic token apikey", rf"""(?i:\b(?:bearer|basic|token|apikey))[ ]+(?P<w>(?![=:]){_BARE})"""),
     # a credential by its name
     (CREDENTIAL, "secret token key sig auth jwt access credential sas", rf"""(?i:secret|token|key|signature|sig|auth|jwt|access|credential|sas)\w{{0,4}}(?:{_Q})?\]?\s*(?:=>|:=|[:=])\s*(?:[rbuf]?{_Q}(?P<v>{_IN}){_Q}|(?P<w>{_BARE}))"""),
     (CREDENTIAL, "--", rf"""(?<![\w-])--[\w-]*(?:key|token|secret|sig)[\s=]+(?:{_Q}(?P<v>{_IN}){_Q}|(?P<w>{_BARE}))"""),
