@@ -1,21 +1,27 @@
 """Per-document text statistics, and which documents are not prose.
 
 Every line gets one of four labels (prose, list, table, junk) from a hidden
-Markov model over line statistics: the labels are the hidden states, a line's
-statistics are its symbols, and the best label sequence of a document
-is found by Viterbi.  Whether words stand in a plausible order is told by word
+Markov model over line statistics: a label has several hidden states, a line's
+statistics are its symbols, and the best sequence of states of a document
+is found by Viterbi.  No weight is set by hand: the model is fitted on lines whose state is known because they were made so,
+the whole sentences of sampled documents written anew in every way that running text comes in, and spoilt in the ways
+that make junk of words.  Whether words stand in a plausible order is told by word
 pairs counted in the well-formed sentences of all documents.
 """
 
 from __future__ import annotations
 
 import html
-import math
+import pickle
+import random
 import re
+import textwrap
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -188,103 +194,142 @@ class Line:
         self.longest = max(map(len, body.split()), default=0) if len(body) > 45 else 0
 
 
-#: What a line shows, in groups of which it shows one symbol each (an empty name stands for none), with the first guess of
-#: the log weight of the symbol under prose, list, table and junk.  Training starts from these and learns from the documents.
-GROUPS: tuple[dict[str, tuple[float, float, float, float]], ...] = (
-    {"bullet": (-4.0, 0.0, -4.0, -4.0), "stamp": (-7.0, -4.0, 0.0, -3.0), "heading": (-3.0, -1.0, -3.0, -1.0), "plain": (0.0, -1.5, -1.0, -0.5)},
-    {"code": (-5.0, -3.0, -2.0, 0.0), "": (0.0, 0.0, 0.0, 0.0)},
-    {"symbols0": (0.0, 0.0, -0.5, -0.5), "symbols1": (-2.0, -0.5, -0.3, -0.3), "symbols2": (-6.0, -2.5, -0.5, 0.0)},
-    {"digits0": (0.0, 0.0, -0.5, -0.3), "digits1": (-1.0, -0.3, -0.3, -0.3), "digits2": (-6.0, -2.5, -0.5, -0.5)},
-    {"cells": (-6.0, -2.5, 0.0, -2.5), "": (0.0, 0.0, 0.0, 0.0)},
-    {"blob": (-9.0, -6.0, -4.0, 0.0), "": (0.0, 0.0, 0.0, 0.0)},
-    {"clipped": (0.0, -2.0, -2.5, -5.5), "": (0.0, 0.0, 0.0, 0.0)},
-    {"order0": (-6.0, -1.0, -1.0, 0.0), "order1": (-2.5, -0.5, -0.5, -0.5), "order2": (0.0, -0.7, -0.7, -2.5), "": (0.0, 0.0, 0.0, 0.0), "long0": (-24.0, -4.0, -4.0, 0.0), "long1": (-12.0, -2.5, -2.5, -1.0), "long2": (0.0, -1.4, -1.4, -5.0)},
-    {"few": (-1.5, 0.0, -0.5, -0.5), "some": (-0.7, 0.0, -0.5, -0.7), "many": (0.0, -3.0, -1.0, -0.7)},
-    {"repeated": (-30.0, -2.0, -2.0, 0.0), "": (0.0, 0.0, 0.0, 0.0)},
-    {"sentence": (0.0, -1.5, -2.0, -1.0), "": (0.0, 0.0, 0.0, 0.0)},
-    {"fragment": (-3.0, 0.0, -0.5, -0.5), "": (0.0, 0.0, 0.0, 0.0)},
-    {"joined": (0.0, -1.5, -1.5, -1.5), "apart": (-0.8, 0.0, 0.0, -0.3), "": (0.0, 0.0, 0.0, 0.0)},
+@dataclass(frozen=True)
+class Lesson:
+    """The symbols of a text's lines and their states, None where it isn't known; a mixed one has blocks of several kinds."""
+
+    shown: list[tuple[str, ...]]
+    states: list[str | None]
+    mixed: bool
+
+
+#: The hidden states, and the label of each: a label's lines can look in several ways.
+STATES = (
+    ("sentence", "prose"), ("wrapped", "prose"), ("notes", "prose"), ("plain", "prose"),
+    ("bullet", "list"), ("short", "list"),
+    ("cells", "table"), ("log", "table"),
+    ("code", "junk"), ("blob", "junk"), ("heap", "junk"), ("again", "junk"),
+)
+LABEL_OF = np.array([LABELS.index(label) for _, label in STATES])
+NUMBER_OF = {state: n for n, (state, _) in enumerate(STATES)}
+
+#: What a line shows, in groups of which it shows one symbol each (an empty name stands for none), with how common each symbol is anywhere.
+GROUPS: tuple[dict[str, float], ...] = (
+    {"plain": 0.7, "bullet": 0.1, "stamp": 0.1, "heading": 0.1},
+    {"": 0.9, "code": 0.1},
+    {"symbols0": 0.6, "symbols1": 0.25, "symbols2": 0.15},
+    {"digits0": 0.6, "digits1": 0.25, "digits2": 0.15},
+    {"": 0.9, "cells": 0.1},
+    {"": 0.95, "blob": 0.05},
+    {"": 0.9, "clipped": 0.1},
+    {"": 0.2, "order0": 0.1, "order1": 0.1, "order2": 0.2, "long0": 0.1, "long1": 0.1, "long2": 0.2},
+    {"few": 0.35, "some": 0.3, "many": 0.35},
+    {"": 0.9, "repeated": 0.1},
+    {"": 0.6, "sentence": 0.4},
+    {"": 0.8, "fragment": 0.2},
+    {"": 0.6, "joined": 0.2, "apart": 0.2},
 )
+class Model:
+    """The hidden Markov model: probabilities of each symbol under each state, of each change of state, and of the first state.
 
+    Without training every state shows every symbol as often as any other, so nothing can be told.
+    """
 
-#: Groups whose weights hold by definition, so they aren't learned: repetition and words without order are junk however well they read.
-FIXED = ("repeated", "order0")
+    #: What the commonness of a symbol anywhere counts for, in lines of each state; and each change of state, in changes.
+    PRIOR, CHANGES = 5.0, 20.0
 
+    def __init__(self, emit: list[dict[str, np.ndarray]] | None = None, change: np.ndarray | None = None, first: np.ndarray | None = None) -> None:
+        n = len(STATES)
+        self.emit = emit or [{s: np.full(n, p) for s, p in g.items()} for g in GROUPS]
+        self.change = change if change is not None else np.full((n, n), 1 / n)
+        self.first = first if first is not None else np.full(n, 1 / n)
+        self._rows: dict[tuple[str, ...], int] = {}
+        self._table = np.zeros((0, n))
 
-class Model:
-    """The hidden Markov model: log weights of each symbol and of each change of label."""
+    def __reduce__(self):
+        return Model, (self.emit, self.change, self.first)
 
-    #: What the first guess counts for, in lines of each label.
-    PRIOR = 200.0
+    def codes(self, shown: list[tuple[str, ...]]) -> np.ndarray:
+        """A number for the symbols of every line; the table of ``weights`` has a row for each."""
+        rows = self._rows
+        return np.fromiter((rows.setdefault(s, len(rows)) for s in shown), np.int64, len(shown))
 
-    def __init__(self, emit: list[dict[str, tuple[float, ...]]] | None = None, stay: float = math.log(0.85), move: float = math.log(0.05)) -> None:
-        self.emit, self.stay, self.move = emit or [dict(g) for g in GROUPS], stay, move
-        self._weights: dict[tuple[str, ...], tuple[float, ...]] = {}
+    def weights(self) -> np.ndarray:
+        """Log probability of each numbered set of symbols under every state."""
+        new = list(self._rows)[len(self._table) :]
+        if new:
+            each = np.array([sum(np.log(g[s]) for g, s in zip(self.emit, shown)) for shown in new])
+            self._table = np.concatenate([self._table, each])
+        return self._table
 
-    def __reduce__(self):
-        return Model, (self.emit, self.stay, self.move)
-
-    def weights(self, shown: tuple[str, ...]) -> tuple[float, ...]:
-        """Log weight of each label for the symbols of a line."""
-        w = self._weights.get(shown)
-        if w is None:
-            w = self._weights[shown] = tuple(sum(g[s][k] for g, s in zip(self.emit, shown)) for k in range(4))
-        return w
-
-    def trained(self, documents: list[list[tuple[str, ...]]], rounds: int = 5) -> Model:
-        """The model after rounds of Viterbi training: documents are labelled, then the weights are counted anew.
-
-        The first guess stays in as PRIOR lines of each label, so a label that the documents
-        hardly show keeps its meaning.
-        """
-        model = self
-        for _ in range(rounds):
-            seen: list[Counter] = [Counter() for _ in GROUPS]
-            lines, stays, moves = Counter(), 0, 0
-            for shown in documents:
-                path = model.viterbi([model.weights(x) for x in shown])
-                stays += sum(a == b for a, b in zip(path, path[1:]))
-                moves += sum(a != b for a, b in zip(path, path[1:]))
-                for x, k in zip(shown, path):
-                    lines[k] += 1
-                    for c, s in zip(seen, x):
-                        c[s, k] += 1
-            emit = []
-            for guess, c in zip(GROUPS, seen):
-                if any(s in FIXED for s in guess):
-                    emit.append(dict(guess))
-                    continue
-                whole = [sum(math.exp(w[k]) for w in guess.values()) for k in range(4)]
-                emit.append({s: tuple(math.log((c[s, k] + self.PRIOR * math.exp(w[k]) / whole[k]) / (lines[k] + self.PRIOR)) for k in range(4)) for s, w in guess.items()})
-            move = (moves + 1) / (stays + moves + 2)
-            model = Model(emit, math.log(1 - move), math.log(move / 3))
-        return model
-
-    def viterbi(self, scores: list[tuple[float, ...]]) -> list[int]:
-        """The best label of every line; every change of label costs the same, so only the best label before and the same one can lead to a label."""
-        if not scores:
+    @staticmethod
+    def fitted(lessons: Iterable[Lesson]) -> Model:
+        """The model counted from lessons: symbols from plain ones, changes of state from mixed ones."""
+        n = len(STATES)
+        emit = [{s: np.full(n, Model.PRIOR * p) for s, p in g.items()} for g in GROUPS]
+        change, first = np.full((n, n), Model.CHANGES / n), np.full(n, Model.CHANGES / n)
+        for x in lessons:
+            known = [(shown, NUMBER_OF[s] if s else -1) for shown, s in zip(x.shown, x.states)]
+            if x.mixed:
+                first[known[0][1]] += 1
+                for (_, a), (_, b) in zip(known, known[1:]):
+                    change[a, b] += 1
+            else:
+                for shown, k in known:
+                    if k >= 0:
+                        for g, s in zip(emit, shown):
+                            g[s][k] += 1
+        whole = [sum(g.values()) for g in emit]
+        return Model([{s: c / w for s, c in g.items()} for g, w in zip(emit, whole)], change / change.sum(1, keepdims=True), first / first.sum())
+
+    @staticmethod
+    def trained(taught: list[list[Lesson]]) -> Model:
+        """The model fitted on the lessons of all documents, and again without those of documents whose own sentences it takes for anything but prose."""
+        model = Model.fitted(x for lessons in taught for x in lessons)
+        own = [[model.codes(x.shown) for x in lessons if x.states[0] == "sentence" and not x.mixed] for lessons in taught]
+        paths = model.viterbi([c for cs in own for c in cs])
+        kept, at = [], 0
+        for lessons, cs in zip(taught, own):
+            path = np.concatenate([np.zeros(0, np.int64), *paths[at : at + len(cs)]])
+            at += len(cs)
+            good = not len(path) or (LABEL_OF[path] == LABELS.index("prose")).mean() > 0.5
+            kept += [x for x in lessons if good or None in x.states]
+        return Model.fitted(kept)
+
+    def viterbi(self, codes: list[np.ndarray]) -> list[np.ndarray]:
+        """The best states of every document's lines, all documents step by step together."""
+        if not codes:
             return []
-        best, back, stay, move = scores[0], [], self.stay, self.move
-        for row in scores[1:]:
-            top = max(best)
-            at, through = best.index(top), top + move
-            came, new = [], []
-            for k in (0, 1, 2, 3):
-                same = best[k] + stay
-                if same >= through:
-                    came.append(k)
-                    new.append(same + row[k])
-                else:
-                    came.append(at)
-                    new.append(through + row[k])
-            back.append(came)
-            best = new
-        label = max(range(4), key=best.__getitem__)
-        path = [label]
-        for came in reversed(back):
-            label = came[label]
-            path.append(label)
-        return path[::-1]
+        weights, change = self.weights(), np.log(self.change)
+        order = sorted(range(len(codes)), key=lambda d: -len(codes[d]))
+        lengths = np.array([len(codes[d]) for d in order])
+        starts = np.concatenate([[0], np.cumsum(lengths)])
+        flat = np.concatenate([codes[d] for d in order]) if lengths[0] else np.zeros(0, np.int64)
+        came, best = [], np.zeros((0, len(STATES)))
+        ends = np.zeros(len(codes), np.int64)
+        for t in range(lengths[0] if len(lengths) else 0):
+            live = int(np.searchsorted(-lengths, -t, "left"))
+            row = weights[flat[starts[:live] + t]]
+            if t == 0:
+                best = np.log(self.first) + row
+            else:
+                through = best[:live, :, None] + change
+                came.append(through.argmax(1).astype(np.uint8))
+                best = through.max(1) + row
+            done = int(np.searchsorted(-lengths, -(t + 1), "left"))  # documents that go on
+            ends[done:live] = best[done:live].argmax(1)
+        paths = np.zeros(len(flat), np.int64)
+        state = np.zeros(0, np.int64)
+        for t in range(int(lengths[0]) - 1, -1, -1):
+            live = int(np.searchsorted(-lengths, -t, "left"))
+            state = np.concatenate([state, ends[len(state) : live]])
+            paths[starts[:live] + t] = state
+            if t:
+                state = came[t - 1][np.arange(live), state].astype(np.int64)
+        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(codes)
+        for row, d in enumerate(order):
+            out[d] = paths[starts[row] : starts[row + 1]]
+        return out
 
 
 def _order(n: int, order: float, clipped: bool) -> str:
@@ -339,11 +384,95 @@ def lines_of(text: str) -> tuple[list[str], list[Line]]:
     return raws, [Line(raw) for raw in raws]
 
 
-def label_lines(text: str, pairs: Pairs, model: Model) -> list[tuple[Line, int, int]]:
-    """(line, characters, label) of every line that isn't blank."""
+def label_documents(texts: list[str], pairs: Pairs, model: Model) -> Iterator[list[tuple[Line, int, int]]]:
+    """(line, characters, label) of every line that isn't blank, for each text; texts are taken in groups of about GROUP_LINES lines."""
+    held: list[tuple[list[str], list[Line], np.ndarray]] = []
+    lines_held = 0
+    for k, text in enumerate(texts):
+        raws, lines = lines_of(text)
+        held.append((raws, lines, model.codes(symbols(lines, pairs))))
+        lines_held += len(lines)
+        if lines_held >= GROUP_LINES or k == len(texts) - 1:
+            paths = model.viterbi([c for _, _, c in held])
+            for (raws_, lines_, _), path in zip(held, paths):
+                yield [(x, len(raw.strip()), label) for x, raw, label in zip(lines_, raws_, LABEL_OF[path].tolist())]
+            held, lines_held = [], 0
+
+
+def _is_sentence(line: Line) -> bool:
+    return line.end and line.capital and len(line.words) >= 5 and not (line.bullet or line.stamp or line.heading or line.code) and line.cells < 3 and line.symbols < 0.03 and line.digits < 0.04 and line.longest <= 45
+
+
+def _wrapped(words: list[str], width: int) -> str:
+    return textwrap.fill(" ".join(words), width, break_long_words=False, break_on_hyphens=False)
+
+
+def examples(text: str) -> list[tuple[str, list[str | None], bool]]:
+    """Labelled examples from one document: texts, the state of each of their lines (None where it isn't known), and whether they are mixed.
+
+    The document itself teaches the lines whose form leaves no doubt.  Its whole sentences are written anew in every way that
+    running text comes in (one a line, wrapped, without punctuation, as clipped notes), and spoilt in the ways that make junk of
+    words: shuffled, and a phrase said over and over.
+    """
     raws, lines = lines_of(text)
-    path = model.viterbi([model.weights(shown) for shown in symbols(lines, pairs)])
-    return [(x, len(raw.strip()), k) for x, raw, k in zip(lines, raws, path)]
+    if not lines:
+        return []
+    forms: list[str | None] = []
+    for x in lines:
+        w = len(x.words)
+        form = "log" if x.stamp else "code" if x.code and x.symbols >= 0.03 else "blob" if x.longest > 45 else None
+        form = form or ("bullet" if x.bullet else "cells" if x.cells >= 3 and x.cell_words <= 5.5 else "short" if 0 < w < 4 and not x.end and x.symbols < 0.03 else None)
+        forms.append(form)
+    out: list[tuple[str, list[str | None], bool]] = [("\n".join(raws), forms, False)] if any(forms) else []
+    whole = list(dict.fromkeys(_clean(raw).strip() for raw, x in zip(raws, lines) if _is_sentence(x)))
+    sentences = [s.strip() for line in whole for s in re.split(r"(?<=[.!?…])\s+", line) if len(s.split()) >= 5]
+    if len(sentences) < 2:
+        return out
+    draw = random.Random(zlib.crc32(text.encode("utf-8", "surrogatepass")))
+    draw.shuffle(sentences)
+    sentences = sentences[:12]
+    words = " ".join(sentences).split()
+    bare = [b for w in words if (b := w.strip(".,;:!?…\"'()").lower())]
+    add = lambda t, state: out.append((t, [state] * (t.count("\n") + 1), False))
+    add("\n".join(sentences), "sentence")
+    add(" ".join(sentences), "sentence")
+    add(_wrapped(words, draw.randrange(24, 90)), "wrapped")
+    add(_wrapped(bare, draw.randrange(24, 90)), "plain")
+    add(" ".join(bare), "plain")
+    add("\n".join(" ".join(bare[i : i + 15]) for i in range(0, len(bare), 15)), "plain")
+    clauses = [" ".join(bare[i : i + 5]).capitalize() + "." for i in range(0, len(bare), 5)]
+    add("\n".join(" ".join(clauses[i : i + 3]) for i in range(0, len(clauses), 3)), "notes")
+    cut = [" ".join(bare[at : at + draw.randrange(2, 7)]) for at in (draw.randrange(len(bare)) for _ in range(10))]
+    add("\n".join(cut), "short")
+    add("\n".join(c + ";" for c in cut), "short")
+    apart = draw.choice((";", " | ", "\t", ","))
+    add("\n".join(apart.join([*draw.sample(cut, 3), str(draw.randrange(100))]) for _ in range(6)), "cells")
+    draw.shuffle(bare)
+    add(" ".join(bare), "heap")
+    add(_wrapped(bare, draw.randrange(24, 90)), "heap")
+    spoilt = [" ".join(bare[i : i + 12]).capitalize() + "." for i in range(0, len(bare), 12)]
+    add("\n".join(spoilt), "heap")
+    add(_wrapped(" ".join(spoilt).split(), draw.randrange(24, 90)), "heap")
+    phrase = draw.choice(sentences)
+    short = " ".join(phrase.split()[: draw.randrange(3, 9)])
+    add("\n".join([phrase] * draw.randrange(5, 12)), "again")
+    add(" ".join([phrase] * draw.randrange(5, 12)), "again")
+    add(" ".join([short] * draw.randrange(8, 30)), "again")
+    add("\n".join([short] * draw.randrange(5, 30)), "again")
+    # as documents have it: blocks of every kind one after the other, in which the changes are learned
+    known = [(t, states) for t, states, _ in out if None not in states]
+    for _ in range(3):
+        mixed: list[tuple[str, str]] = []
+        for t, states in draw.sample(known, min(len(known), 8)):
+            rows = list(zip(t.split("\n"), states))
+            at = draw.randrange(len(rows))
+            mixed += rows[at : at + draw.randrange(1, 8)]
+        out.append(("\n".join(t for t, _ in mixed), [s for _, s in mixed], True))
+    return out
+
+
+def lessons(text: str, pairs: Pairs) -> list[Lesson]:
+    return [Lesson(symbols(lines_of(t)[1], pairs), states, mixed) for t, states, mixed in examples(text)]
 
 
 SHARES = "n_lines long, prose_share double, list_share double, table_share double, junk_share double"
@@ -376,61 +505,75 @@ def counts(text: str, rows: list[tuple[Line, int, int]], common: frozenset) -> t
     )
 
 
-#: Documents (about as many) on whose lines the model is trained, and the most lines of one that is taken.
-TRAINING_DOCUMENTS = 2_000
-TRAINING_LINES = 2_000
-
-
-def _chosen(docs: DataFrame, n: int, of: int) -> DataFrame:
-    """About ``n`` texts, chosen by the hash of their id, each by itself, so nothing has to be sorted or gathered."""
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return docs.where(F.col("text").isNotNull() & (place < min(1.0, n / max(1, of)))).select("text")
+#: Documents (about as many) that teach the model, and the most lines and characters of one that are taken, from a place of its own.
+TRAINING_DOCUMENTS, TRAINING_LINES, TRAINING_CHARACTERS = 500, 200, 20_000
+#: Lines whose labels are looked for at once inside a task.
+GROUP_LINES = 20_000
+#: What every model is taught beside the table's own documents, so that one without sentences has one too.
+PRIMER = (
+    "The clerk opened the heavy door and looked for the missing key.\nNobody had seen it since the morning, so the search went on.\nIn the end a child found it under the old bench.\n- key\n- door\n- old bench\nitem;count;price\nkey;2;3.50\ndoor;1;80.00",
+    "Der Wagen hielt vor dem alten Haus am Rand der Stadt.\nEin Mann stieg aus und trug zwei Koffer hinein.\nNiemand wusste, wie lange er bleiben wollte.\n1. Koffer\n2. Wagen\nx = load(path, mode=3)\ny = {x: [1, 2]}",
+    "Le marchand a fermé la boutique avant la tombée de la nuit.\nIl a laissé une lampe allumée derrière la vitre.\nPersonne ne comprit pourquoi il était parti si vite.\n2025-01-01 10:00:00 INFO started id=4\n2025-01-01 10:00:02 INFO ended id=4",
+    "La maestra explicó la tarea y después abrió la ventana.\nLos niños escribían despacio porque hacía mucho calor.\nAl final del día nadie quería volver a casa.\n* tarea\n* ventana\nQUJDREVGR0hJSktMTU5PUFFSU1RVVldYWVphYmNkZWZnaGlqa2xtbm9wcXJzdHV2d3h5ejAxMjM0NTY3ODk=",
+)
 
 
-def train(docs: DataFrame, pairs: Pairs, of: int, n: int = TRAINING_DOCUMENTS) -> Model:
-    """The model trained on a bounded sample; only the symbols of its lines come to the driver."""
-    shared = docs.sparkSession.sparkContext.broadcast(pairs)
+def segment(text: str) -> str:
+    """At most TRAINING_LINES lines and TRAINING_CHARACTERS characters of a text, from a place that its own hash chooses."""
+    lines = text.split("\n")
+    at = zlib.crc32(text.encode("utf-8", "surrogatepass")) % max(1, len(lines) - TRAINING_LINES + 1)
+    return "\n".join(lines[at : at + TRAINING_LINES])[:TRAINING_CHARACTERS]
 
-    def show(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            shown = []
-            for t in pdf["text"]:
-                lines = lines_of(t)[1]
-                if 0 < len(lines) <= TRAINING_LINES:
-                    shown.append("\n".join(",".join(x) for x in symbols(lines, shared.value)))
-            yield pd.DataFrame({"shown": shown})
 
-    rows = _chosen(docs, n, of).mapInPandas(show, "shown string").collect()
-    return Model().trained([[tuple(x.split(",")) for x in r["shown"].split("\n")] for r in sorted(rows)])
+def _counter_rows(pairs: Counter) -> Iterator[tuple[str, str, str, int]]:
+    left, right = Counter(), Counter()
+    for (a, b), n in pairs.items():
+        left[a] += n
+        right[b] += n
+        yield "pair", a, b, n
+    for kind, ns in {"left": left, "right": right, "word": left + right, "all": {"": sum(left.values())}}.items():
+        yield from ((kind, w, "", n) for w, n in ns.items())
 
 
-def learn_pairs(docs: DataFrame, of: int) -> Pairs:
-    """Word pairs of the sentences of all ``of`` documents.
+def learn(docs: DataFrame, of: int) -> tuple[Pairs, list[str]]:
+    """Word pairs of the sentences of all ``of`` documents, and the segments that teach the model, from one reading of the texts.
 
     What comes to the driver has at least 2 (words: 4) occurrences per PLAIN_DOCUMENTS documents,
-    which bounds its number by the length of the documents, whatever their number is.
+    which bounds its number by the length of the documents, whatever their number is; segments are about TRAINING_DOCUMENTS.
     """
     scale = max(1.0, of / PLAIN_DOCUMENTS)
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             pairs: Counter = Counter()
             for t in pdf["text"]:
                 pairs.update(sentence_pairs(t))
-            left, right = Counter(), Counter()
-            for (a, b), n in pairs.items():
-                left[a] += n
-                right[b] += n
-            sides = {"left": left, "right": right, "word": left + right, "all": {"": sum(left.values())}}
-            out = [("pair", a, b, n) for (a, b), n in pairs.items()] + [(kind, w, "", n) for kind, ns in sides.items() for w, n in ns.items()]
-            yield pd.DataFrame(out, columns=["kind", "a", "b", "n"])
-
-    counted = docs.where("text IS NOT NULL").select("text").mapInPandas(count, "kind string, a string, b string, n long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
+            taught = [("text", segment(t), "", 1) for t, chosen in zip(pdf["text"], pdf["chosen"]) if chosen]
+            yield pd.DataFrame([*_counter_rows(pairs), *taught], columns=["kind", "a", "b", "n"])
+
+    chosen = docs.where("text IS NOT NULL").select("text", (place < min(1.0, TRAINING_DOCUMENTS / max(1, of))).alias("chosen"))
+    counted = chosen.mapInPandas(count, "kind string, a string, b string, n long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
     # a pair's words have its count on their sides at least
-    found: dict[str, dict] = {kind: {} for kind in ("pair", "left", "right", "word", "all")}
-    for kind, a, b, n in counted.where(F.col("n") >= F.when(F.col("kind") == "word", 4 * scale).when(F.col("kind") == "all", 0).otherwise(2 * scale)).collect():
+    found: dict[str, dict] = {kind: {} for kind in ("pair", "left", "right", "word", "all", "text")}
+    needed = F.when(F.col("kind") == "word", 4 * scale).when(F.col("kind").isin("all", "text"), 0).otherwise(2 * scale)
+    for kind, a, b, n in counted.where(F.col("n") >= needed).collect():
         found[kind][(a, b) if kind == "pair" else a] = n
-    return Pairs.chosen(found["pair"], found["left"], found["right"], found["word"], found["all"].get("", 0), scale)
+    pairs = Pairs.chosen(found["pair"], found["left"], found["right"], found["word"], found["all"].get("", 0), scale)
+    return pairs, sorted(found["text"])
+
+
+def train(spark: SparkSession, pairs: Pairs, segments: list[str]) -> Model:
+    """The model trained on the lessons of the segments and of PRIMER, which are made in tasks; only symbols come to the driver."""
+    shared = spark.sparkContext.broadcast(pairs)
+    texts = [*PRIMER, *segments]
+
+    def teach(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            yield pd.DataFrame({"n": pdf["n"], "lessons": [pickle.dumps(lessons(t, shared.value)) for t in pdf["text"]]})
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "n int, text string").repartition(spark.sparkContext.defaultParallelism, "n")
+    return Model.trained([pickle.loads(r["lessons"]) for r in sorted(rows.mapInPandas(teach, "n int, lessons binary").collect())])
 
 
 #: Most words of a list of common ones.
@@ -444,43 +587,40 @@ def _common_words(common: DataFrame) -> frozenset:
     return frozenset(plain(r[0]) for r in rows)
 
 
-def text_statistics(docs: DataFrame, common: DataFrame | None = None) -> DataFrame:
-    """doc_id, the number of lines and the share of characters under each label, and with ``common`` all other statistics.
+def text_statistics(docs: DataFrame, common: DataFrame) -> DataFrame:
+    """doc_id, the number of lines and the share of characters under each label, and all other statistics.
 
     Shares are of the characters of all lines that aren't blank.  NULL, empty and blank texts
     get zeros.  Whole texts are read, once for the word pairs, of which counts are shuffled, and once for
     the labels; in between the model is trained on a bounded sample (TRAINING_DOCUMENTS).  ``common`` (word) is a fixed list of function words, at most MOST_WORDS of them.
     """
     of = docs.count()
-    pairs = learn_pairs(docs, of)
-    model = train(docs, pairs, of)
-    words = _common_words(common) if common is not None else None
-    shared = docs.sparkSession.sparkContext.broadcast((pairs, model, words))
+    pairs, segments = learn(docs, of)
+    model = train(docs.sparkSession, pairs, segments)
+    shared = docs.sparkSession.sparkContext.broadcast((pairs, model, _common_words(common)))
     kind = {f.name: f.dataType.simpleString() for f in docs.schema}["doc_id"]
-    columns = f"{SHARES}, {STATS}" if common is not None else SHARES
+    columns = f"{SHARES}, {STATS}"
     names = ["doc_id", *[c.split()[0] for c in columns.split(", ")]]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, trained, usual = shared.value
         for pdf in frames:
-            out = []
-            for d, t in zip(pdf["doc_id"], pdf["text"]):
-                rows = label_lines(t, known, trained) if t else []
-                out.append((d, *shares(rows), *(counts(t or "", rows, usual) if usual is not None else ())))
-            yield pd.DataFrame(out, columns=names)
+            texts = [t or "" for t in pdf["text"]]
+            labelled = label_documents(texts, known, trained)
+            yield pd.DataFrame([(d, *shares(rows), *counts(t, rows, usual)) for d, t, rows in zip(pdf["doc_id"], texts, labelled)], columns=names)
 
     return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, {columns}")
 
 
-def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of which less than half is running prose."""
-    return text_statistics(table(spark, sf_dir, "documents")).where("n_lines > 0 AND prose_share < 0.5").select("doc_id")
-
-
 def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The statistics of every document."""
     return text_statistics(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of which less than half is running prose, from their statistics."""
+    return p8_statistics(spark, sf_dir).where("n_lines > 0 AND prose_share < 0.5").select("doc_id")
+
+
 QUERIES = {"p8_found": p8_found, "p8_statistics": p8_statistics}
 ORACLE: dict[str, str] = {}
