@@ -407,7 +407,7 @@ def _wrapped(words: list[str], width: int) -> str:
     return textwrap.fill(" ".join(words), width, break_long_words=False, break_on_hyphens=False)
 
 
-def examples(text: str) -> list[tuple[str, list[str | None], bool]]:
+def examples(text: str, pairs: Pairs) -> list[tuple[str, list[str | None], bool]]:
     """Labelled examples from one document: texts, the state of each of their lines (None where it isn't known), and whether they are mixed.
 
     The document itself teaches the lines whose form leaves no doubt.  Its whole sentences are written anew in every way that
@@ -424,11 +424,16 @@ def examples(text: str) -> list[tuple[str, list[str | None], bool]]:
         form = form or ("bullet" if x.bullet else "cells" if x.cells >= 3 and x.cell_words <= 5.5 else "short" if 0 < w < 4 and not x.end and x.symbols < 0.03 else None)
         forms.append(form)
     out: list[tuple[str, list[str | None], bool]] = [("\n".join(raws), forms, False)] if any(forms) else []
-    whole = list(dict.fromkeys(_clean(raw).strip() for raw, x in zip(raws, lines) if _is_sentence(x)))
-    sentences = [s.strip() for line in whole for s in re.split(r"(?<=[.!?…])\s+", line) if len(s.split()) >= 5]
+    whole = [_clean(raw).strip() for raw, x in zip(raws, lines) if _is_sentence(x)]
+    sentences = list(dict.fromkeys(s.strip() for line in whole for s in re.split(r"(?<=[.!?…])\s+", line) if len(s.split()) >= 5))
     if len(sentences) < 2:
         return out
     draw = random.Random(zlib.crc32(text.encode("utf-8", "surrogatepass")))
+    # sentences in no better order than their own words shuffled are none, and teach nothing
+    heaps = [" ".join(draw.sample(w, len(w))) for w in (x.split() for x in sentences)]
+    real, shuffled = (pairs.plausible([t for x in xs for t in [*_tokens(x), "."]])[1] for xs in (sentences, heaps))
+    if real < (1 + shuffled) / 2:
+        return out
     draw.shuffle(sentences)
     sentences = sentences[:12]
     words = " ".join(sentences).split()
@@ -453,6 +458,8 @@ def examples(text: str) -> list[tuple[str, list[str | None], bool]]:
     spoilt = [" ".join(bare[i : i + 12]).capitalize() + "." for i in range(0, len(bare), 12)]
     add("\n".join(spoilt), "heap")
     add(_wrapped(" ".join(spoilt).split(), draw.randrange(24, 90)), "heap")
+    half = len(bare) // 2
+    add("\n".join(" ".join(b).capitalize() + "." for b in (bare[:half], bare[half:])), "heap")
     phrase = draw.choice(sentences)
     short = " ".join(phrase.split()[: draw.randrange(3, 9)])
     add("\n".join([phrase] * draw.randrange(5, 12)), "again")
@@ -472,7 +479,7 @@ def examples(text: str) -> list[tuple[str, list[str | None], bool]]:
 
 
 def lessons(text: str, pairs: Pairs) -> list[Lesson]:
-    return [Lesson(symbols(lines_of(t)[1], pairs), states, mixed) for t, states, mixed in examples(text)]
+    return [Lesson(symbols(lines_of(t)[1], pairs), states, mixed) for t, states, mixed in examples(text, pairs)]
 
 
 SHARES = "n_lines long, prose_share double, list_share double, table_share double, junk_share double"

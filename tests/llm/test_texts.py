@@ -233,11 +233,17 @@ def test_weights_are_probabilities_and_nothing_is_known_without_training(pairs,
     assert (model.__reduce__()[0](*model.__reduce__()[1]).change == model.change).all()
 
 
-def test_lessons_have_a_state_for_every_line():
+def test_lessons_have_a_state_for_every_line(pairs):
     for t in [*PROSE, *q.PRIMER, *KINDS.values(), "x", "\u2028\x0b a\x0cb. C d e f g h.\x85" * 9, "One two three four five. " * 400]:
-        for text, states, mixed in q.examples(t):
+        for text, states, mixed in q.examples(t, pairs):
             assert len(states) == len(q.lines_of(text)[0]) and (not mixed or None not in states)
-    assert q.examples("") == [] and {s for _, states, _ in q.examples(PROSE[0]) for s in states} >= {"sentence", "wrapped", "plain", "notes", "short", "cells", "heap", "again"}
+    assert q.examples("", pairs) == [] and {s for _, states, _ in q.examples(PROSE[0], pairs) for s in states} >= {"sentence", "wrapped", "plain", "notes", "short", "cells", "heap", "again"}
+
+
+def test_heaps_and_repetitions_in_sentences_form_teach_no_prose(pairs):
+    words = PROSE[0].replace(".", "").lower().split()
+    for t in ("\n".join(" ".join(rng.sample(words, 14)).capitalize() + "." for _ in range(6)), "\n".join([PROSE[0].split(". ")[0] + "."] * 9)):
+        assert not {s for _, states, _ in q.examples(t, pairs) for s in states} & {"sentence", "wrapped", "plain", "notes"}
 
 
 @pytest.mark.parametrize("line", ["checked the ledger after", "The auditor moved", "vault moved quota near limit"])
