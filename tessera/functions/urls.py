@@ -25,6 +25,7 @@ BENIGN = (
 _BY_CONTAINER = r"(?i)abfss?://([^@/\s]+)@onelake\.dfs\.fabric\.microsoft\.com"
 _BY_PATH = r"(?i)https?://[^/\s]*\.fabric\.microsoft\.com/(?:[^?\s]*?/)?(?:v1/)?workspaces/([0-9a-f-]{8,})"
 _BY_GROUP = r"(?i)https?://(?:app|api)\.powerbi\.com/(?:[^/\s]*/)*?groups/([0-9a-f-]{8,})"
+DESTINATIONS = (_BY_CONTAINER, _BY_PATH, _BY_GROUP)
 GUID = r"(?i)^[0-9a-f]{8}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{12}$"
 
 
@@ -37,7 +38,7 @@ def pattern(strict: bool = False) -> str:
 
 def destination(url: Column) -> Column:
     """The workspace id or name that an address names, or NULL."""
-    return F.coalesce(*[F.nullif(F.regexp_extract(url, p, 1), F.lit("")) for p in (_BY_CONTAINER, _BY_PATH, _BY_GROUP)])
+    return F.coalesce(*[F.nullif(F.regexp_extract(url, p, 1), F.lit("")) for p in DESTINATIONS])
 
 
 def is_benign(url: Column) -> Column:

@@ -124,7 +124,10 @@ def blocks(content: bytes | str, path: str, extras: bool = True) -> list[Block]:
 
 
 def attached_lakehouse(content: bytes | str, path: str) -> tuple[str | None, str | None, str | None]:
-    """Id, name and workspace id of the lakehouse that a document's metadata attaches; the first known id where no default is named."""
+    """Id, name and workspace id of the lakehouse that a document's metadata attaches; the first known id where no default is named.
+
+    The workspace's name is in no document: ``with_names`` looks it up by the id.
+    """
     text = content.decode("utf-8", "ignore") if isinstance(content, (bytes, bytearray)) else str(content or "")
     candidates = []
     if is_source_export(text):
@@ -134,8 +137,9 @@ def attached_lakehouse(content: bytes | str, path: str) -> tuple[str | None, str
             data = json.loads(text)
         except ValueError:
             data = {}
-        candidates += [data.get("metadata"), (data.get("properties") or {}).get("metadata")]
-        for p in (data.get("definition") or {}).get("parts") or []:
+        data = _object(data)
+        candidates += [data.get("metadata"), _object(data.get("properties")).get("metadata")]
+        for p in _object(data.get("definition")).get("parts") or []:
             t = _decoded(p.get("payload") or "") or ""
             if is_source_export(t):
                 candidates.append(exported_cells(t)[0])
@@ -145,9 +149,15 @@ def attached_lakehouse(content: bytes | str, path: str) -> tuple[str | None, str
                 except ValueError:
                     continue
     for meta in candidates:
-        at = ((meta or {}).get("dependencies") or {}).get("lakehouse") or {}
-        known = at.get("known_lakehouses") or [{}]
-        found = (at.get("default_lakehouse") or (known[0] or {}).get("id"), at.get("default_lakehouse_name"), at.get("default_lakehouse_workspace_id"))
+        at = _object(_object(_object(meta).get("dependencies")).get("lakehouse"))
+        known = at.get("known_lakehouses")
+        first = _object(known[0]) if isinstance(known, list) and known else {}
+        id_ = next((v for v in (at.get("default_lakehouse"), at.get("default_lakehouse_id"), first.get("id"), first.get("lakehouse_id")) if v), None)
+        found = (id_, at.get("default_lakehouse_name") or None, at.get("default_lakehouse_workspace_id") or None)
         if any(found):
-            return tuple(v or None for v in found)
+            return found
     return None, None, None
+
+
+def _object(value) -> dict:
+    return value if isinstance(value, dict) else {}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions.ids import canonical_id
 from tessera.functions.severity import SEVERITY_ROWS
 from tessera.operators.datasources import artifacts, placeholders, using
-from tessera.operators.downloads import classified, manifest, parts, resolve_types, split_plan
+from tessera.operators.downloads import classified, item_files, manifest, parts, resolve_types, split_plan
 from tessera.operators.latest import first_by_window
 from tessera.session import table
 
@@ -95,13 +95,15 @@ def first_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Envelopes made of the notebook sources: a main part, and for every third an empty one beside it."""
+    """Envelopes made of the notebook sources, the case chosen by their number: no body at all, a main part of another name or language, an empty or a second source part beside it, and every export mode."""
     n = table(spark, sf_dir, "notebook_sources").select("workspace_id", "workspace_name", F.col("source_id").cast("string").alias("item_id"), "display_name", "source_text", "exported_at").distinct()
+    k, part = F.col("item_id").cast("long"), lambda name, payload: F.concat(F.lit('{"path":"'), name, F.lit('","payload":"'), payload, F.lit('","payloadType":"InlineBase64"}'))
     payload = F.replace(F.base64(F.encode("source_text", "UTF-8")), F.lit("\r\n"), F.lit(""))
-    name = F.when(F.col("item_id").cast("long") % 4 == 0, "other.txt").otherwise("notebook-content.py")
-    second = F.when(F.col("item_id").cast("long") % 3 == 0, ',{"path":"empty.json","payload":"","payloadType":"InlineBase64"}').otherwise("")
-    body = F.concat(F.lit('{"definition":{"parts":[{"path":"'), name, F.lit('","payload":"'), payload, F.lit('","payloadType":"InlineBase64"}'), second, F.lit("]}}"))
-    return n.withColumn("body", F.when(F.col("item_id").cast("long") % 7 != 0, body)).withColumn("item_type", F.lit("Notebook")).withColumn("export_format", F.lit("py"))
+    name = F.when(k % 4 == 0, "other.txt").when(k % 4 == 1, "/notebook-content.sql").otherwise("notebook-content.py")
+    beside = F.when(k % 3 == 0, F.concat(F.lit(","), part(F.lit("empty.json"), F.lit("")))).otherwise(""), F.when(k % 11 == 0, F.concat(F.lit(","), part(F.lit("notebook-content.r"), F.lit("eA==")))).otherwise("")
+    body = F.concat(F.lit('{"definition":{"parts":['), part(name, payload), *beside, F.lit("]}}"))
+    mode = F.element_at(F.array(*map(F.lit, ("txt", "parts", "ipynb", "py", "py"))), (k % 5 + 1).cast("int"))
+    return n.withColumn("body", F.when(k % 7 != 0, body)).withColumn("item_type", F.lit("Notebook")).withColumn("export_format", mode)
 
 
 def base64_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,8 +112,17 @@ def base64_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def download_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = manifest(_envelopes(spark, sf_dir), "body", F.lit("/out"), F.lit("run-1"), F.col("exported_at"))
-    return m.select("item_id", "part_count", "parts_saved", "has_content_part", "payload_bytes", "sha256", "http_status", "status", "error", "downloaded_at")
+    """The manifest of a run after which every ninth item's main target is there already."""
+    made = lambda there=None: manifest(_envelopes(spark, sf_dir), "body", F.lit("/out"), F.lit("run-1"), F.col("exported_at"), there)
+    there = made().where((F.col("item_id").cast("long") % 9 == 0) & (F.col("status") == "ok")).select(F.col("primary_target").alias("path"))
+    return made(there).select("item_id", "export_format", "part_count", "parts_saved", "has_content_part", "payload_bytes", "sha256", "http_status", "status", "error", "downloaded_at")
+
+
+def handled_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files made of the envelopes by the handlers of four types."""
+    kinds = F.array(*map(F.lit, ("Notebook", "lakehouse", "Report", "Unheard")))
+    items = _envelopes(spark, sf_dir).select("item_id", F.element_at(kinds, (F.col("item_id").cast("long") % 13 % 4 + 1).cast("int")).alias("item_type"), "body")
+    return item_files(items, "body").select("item_id", "item_type", "file_name", F.when(F.col("item_type") != "lakehouse", F.length("content")).alias("bytes"))
 
 
 def _scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,7 +139,7 @@ def deep_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("workspace_id", "artifact_type", "artifact_id", "artifact_name", F.array_join("matched", "|").alias("matched"))
 
 
-QUERIES = {f.__name__: f for f in (star_dim_join, severity_seeds, quarantine, exported_facts, item_types, plan_of_split, split_counts, first_items, base64_parts, download_manifest, deep_scan)}
+QUERIES = {f.__name__: f for f in (star_dim_join, severity_seeds, quarantine, exported_facts, item_types, plan_of_split, split_counts, first_items, base64_parts, download_manifest, handled_files, deep_scan)}
 
 
 def _sql_id(c: str) -> str:
@@ -142,6 +153,8 @@ p AS (SELECT item_id, coalesce(item_type, '') AS item_type, coalesce(nullif(disp
   CASE WHEN CASE target_workspace WHEN 'A' THEN 'ws-a' ELSE 'ws-b' END = coalesce(nullif(workspace_id, ''), 'ws-source') THEN 'leave' ELSE 'move' END AS action FROM c)
 """
 _N = "WITH n AS (SELECT DISTINCT source_id AS k, CAST(source_id AS VARCHAR) AS item_id, source_text AS t, exported_at FROM notebook_sources)"
+_N += """, c AS (SELECT *, k % 7 <> 0 AND t IS NOT NULL AS b, k % 11 = 0 AS r, CASE k % 4 WHEN 0 THEN 'other.txt' WHEN 1 THEN '/notebook-content.sql' ELSE 'notebook-content.py' END AS nm, ['txt', 'parts', 'ipynb', 'py', 'py'][k % 5 + 1] AS mode,
+    1 + CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN k % 11 = 0 THEN 1 ELSE 0 END AS parts, CASE WHEN k % 4 <> 0 THEN 1 ELSE 0 END + CASE WHEN k % 11 = 0 THEN 1 ELSE 0 END AS src FROM n)"""
 ORACLE = {
     "star_dim_join": f"""WITH w AS (SELECT {_sql_id("workspace_id")} AS id, capacity_id, last_seen FROM dim_workspace), one AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY id ORDER BY last_seen DESC NULLS LAST, capacity_id DESC NULLS LAST) = 1),
         s AS (SELECT * FROM (VALUES {", ".join(f"('{n}', {o})" for n, o, _ in SEVERITY_ROWS)}) v(name, ordinal)), f AS (SELECT DISTINCT finding_id, {_sql_id("workspace_id")} AS ws, lower(severity) AS severity FROM fact_scan_findings)
@@ -153,10 +166,21 @@ ORACLE = {
     "plan_of_split": _PLAN + "SELECT * FROM p",
     "split_counts": _PLAN + "SELECT target_workspace, action, count(*) AS items FROM p GROUP BY 1, 2",
     "first_items": f"SELECT item, display_name, workspace_id, first_seen FROM (SELECT {_sql_id('item_id')} AS item, display_name, workspace_id, first_seen FROM item_inventory) QUALIFY row_number() OVER (PARTITION BY item ORDER BY first_seen NULLS LAST, display_name NULLS LAST, workspace_id NULLS LAST) = 1",
-    "base64_parts": _N + " SELECT item_id, CAST(0 AS INTEGER) AS part_index, CASE WHEN k % 4 = 0 THEN 'other.txt' ELSE 'notebook-content.py' END AS part_path, CAST(strlen(t) AS INTEGER) AS bytes, sha256(t) AS sha256 FROM n WHERE k % 7 <> 0 AND strlen(t) > 0",
-    "download_manifest": _N + """ SELECT item_id, CAST(CASE WHEN k % 7 = 0 THEN 0 WHEN k % 3 = 0 THEN 2 ELSE 1 END AS INTEGER) AS part_count, CAST(CASE WHEN k % 7 = 0 THEN 0 ELSE 1 END AS INTEGER) AS parts_saved, CASE WHEN k % 7 <> 0 THEN k % 4 <> 0 END AS has_content_part,
-        CASE WHEN k % 7 = 0 THEN 0 ELSE strlen(t) END AS payload_bytes, CASE WHEN k % 7 <> 0 THEN sha256(t) END AS sha256, CAST(CASE WHEN k % 7 <> 0 THEN 200 END AS INTEGER) AS http_status, CASE WHEN k % 7 = 0 THEN 'error' ELSE 'ok' END AS status,
-        CASE WHEN k % 7 = 0 THEN 'empty definition' WHEN k % 4 = 0 THEN 'no content part' END AS error, exported_at AS downloaded_at FROM n""",
+    "base64_parts": _N + """ SELECT item_id, CAST(0 AS INTEGER) AS part_index, ltrim(nm, '/') AS part_path, CAST(strlen(t) AS INTEGER) AS bytes, sha256(t) AS sha256 FROM c WHERE b AND strlen(t) > 0
+        UNION ALL SELECT item_id, CAST(CASE WHEN k % 3 = 0 THEN 2 ELSE 1 END AS INTEGER), 'notebook-content.r', CAST(1 AS INTEGER), sha256('x') FROM c WHERE b AND r""",
+    "handled_files": _N + """, h AS (SELECT *, ['Notebook', 'lakehouse', 'Report', 'Unheard'][k % 13 % 4 + 1] AS item_type FROM c),
+        f AS (SELECT item_id, item_type, ltrim(nm, '/') AS file_name, CAST(strlen(t) AS INTEGER) AS bytes, 0 AS place FROM h WHERE b AND strlen(t) > 0 UNION ALL SELECT item_id, item_type, 'notebook-content.r', CAST(1 AS INTEGER), 1 FROM h WHERE b AND r),
+        s AS (SELECT item_id, min(place) AS place FROM f WHERE file_name LIKE 'notebook-content.%' GROUP BY 1)
+        SELECT item_id, item_type, file_name, bytes FROM f WHERE item_type IN ('Report', 'Unheard') UNION ALL SELECT f.item_id, item_type, file_name, bytes FROM f JOIN s ON f.item_id = s.item_id AND f.place = s.place WHERE item_type = 'Notebook'
+        UNION ALL SELECT item_id, item_type, 'lakehouse_metadata.json', NULL FROM h WHERE item_type = 'lakehouse'""",
+    "download_manifest": _N + """, e AS (SELECT *, CASE WHEN NOT b THEN 'no body' WHEN mode = 'ipynb' THEN 'no notebook part' WHEN mode <> 'parts' AND src = 0 THEN 'no source part' WHEN mode <> 'parts' AND src > 1 THEN 'several source parts'
+            WHEN mode <> 'parts' AND k % 4 <> 0 AND strlen(t) = 0 THEN 'empty source part' END AS err, CASE WHEN k % 4 <> 0 AND strlen(t) > 0 THEN t END AS own, CASE WHEN strlen(t) > 0 THEN 1 ELSE 0 END + CASE WHEN r THEN 1 ELSE 0 END AS files FROM c),
+        g AS (SELECT *, k % 9 = 0 AND err IS NULL AND (mode <> 'parts' OR files > 0) AS there, CASE WHEN mode = 'parts' THEN CASE WHEN r THEN 'x' ELSE own END WHEN r THEN coalesce(own, 'x') ELSE own END AS main FROM e),
+        s AS (SELECT *, CASE WHEN err IS NOT NULL THEN 0 WHEN mode <> 'parts' THEN CASE WHEN there THEN 0 ELSE 1 END ELSE files - CASE WHEN there AND main IS NOT NULL THEN 1 ELSE 0 END END AS saved,
+            CASE WHEN mode = 'parts' AND there THEN CASE WHEN r THEN own END ELSE main END AS kept FROM g)
+        SELECT item_id, mode AS export_format, CAST(CASE WHEN b THEN parts ELSE 0 END AS INTEGER) AS part_count, CAST(saved AS INTEGER) AS parts_saved, CASE WHEN b THEN src > 0 END AS has_content_part, CASE WHEN err IS NULL THEN coalesce(strlen(kept), 0) ELSE 0 END AS payload_bytes,
+        CASE WHEN err IS NULL THEN sha256(kept) END AS sha256, CAST(CASE WHEN b THEN 200 END AS INTEGER) AS http_status, CASE WHEN err IS NOT NULL THEN 'error' WHEN saved > 0 THEN 'ok' ELSE 'skipped_exists' END AS status,
+        coalesce(err, CASE WHEN src = 0 THEN 'no content part' END) AS error, exported_at AS downloaded_at FROM s""",
     "deep_scan": f"""WITH i AS (SELECT DISTINCT workspace_id, {_sql_id("item_id")} AS item, display_name FROM item_inventory), k AS (SELECT * FROM i WHERE workspace_id IS NOT NULL AND item IS NOT NULL),
         m AS (SELECT workspace_id, 'Dataset' AS artifact_type, item AS artifact_id, display_name AS artifact_name, 'ds-' || left(item, 1) AS matched FROM k WHERE left(item, 1) IN ('a', '7')), w AS (SELECT DISTINCT workspace_id FROM k)
         SELECT w.workspace_id, artifact_type, artifact_id, coalesce(artifact_name, '(none)') AS artifact_name, matched FROM w LEFT JOIN m USING (workspace_id)""",

@@ -228,6 +228,7 @@ _SAFE = "coalesce(nullif(regexp_replace(regexp_replace({0}, '[^A-Za-z0-9._-]', '
 _Q = "v[CAST(least(greatest(floor({p} * (n + 1)), 1), n) AS INTEGER)] + least(greatest({p} * (n + 1) - least(greatest(floor({p} * (n + 1)), 1), n), 0), 1) * (v[CAST(least(least(greatest(floor({p} * (n + 1)), 1), n) + 1, n) AS INTEGER)] - v[CAST(least(greatest(floor({p} * (n + 1)), 1), n) AS INTEGER)])"
 _W = "SELECT workspace_id, workspace_name, capacity_id, last_seen FROM dim_workspace QUALIFY row_number() OVER (PARTITION BY workspace_id ORDER BY last_seen DESC NULLS LAST, workspace_name DESC NULLS LAST, capacity_id DESC NULLS LAST) = 1"
 _GUID = "'^[0-9a-f]{8}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{12}$', 'i'"
+_BRANCHES = ", ".join(f"nullif(regexp_extract(url, '{p}', 1), '')" for p in urls.DESTINATIONS)
 _FLOW = "regexp_matches(lower(coalesce(code_snippet, '')), '{0}')"
 ORACLE = {
     "fetch_summary": "SELECT count(*) AS fetched, round(sum(value), 4) AS total_value, CAST(sum(CAST(json_extract_string(props, '$.k') AS INTEGER)) AS BIGINT) AS total_k, count(DISTINCT event_type) AS kinds, count(DISTINCT user_id) AS users FROM events WHERE event_type <> 'error'",
@@ -240,7 +241,7 @@ ORACLE = {
     "snippet_entropy": "SELECT DISTINCT result_id, round(CASE WHEN code_snippet = '' THEN 0 ELSE list_aggregate(string_split(code_snippet, ''), 'entropy') END, 6) AS entropy FROM scan_results WHERE code_snippet IS NOT NULL",
     "content_hashes": "SELECT DISTINCT source_id, CASE WHEN coalesce(source_text, '') = '' THEN '' ELSE left(sha256(source_text), 16) END AS actual_hash, content_hash AS recorded_hash, length(source_text) AS actual_length, content_length AS recorded_length FROM notebook_sources",
     "safe_names": f"SELECT DISTINCT workspace_id, left({_SAFE.format('workspace_name')}, 12) AS segment FROM (SELECT DISTINCT workspace_id, workspace_name FROM dim_workspace)",
-    "destinations": f"""WITH f AS (SELECT DISTINCT row_id, workspace_id, workspace_name, url, coalesce(nullif(regexp_extract(url, '(?i)abfss?://([^@/\\s]+)@', 1), ''), nullif(regexp_extract(url, '(?i)/workspaces/([0-9a-f-]{{8,}})', 1), '')) AS raw FROM fabric_url_scanner WHERE url IS NOT NULL),
+    "destinations": f"""WITH f AS (SELECT DISTINCT row_id, workspace_id, workspace_name, url, coalesce({_BRANCHES}, nullif(regexp_extract(url, '(?i)abfss?://([^@/\\s]+)@', 1), ''), nullif(regexp_extract(url, '(?i)/workspaces/([0-9a-f-]{{8,}})', 1), '')) AS raw FROM fabric_url_scanner WHERE url IS NOT NULL),
         names AS (SELECT lower(workspace_id) AS k, min(workspace_name) AS v FROM dim_workspace WHERE workspace_name IS NOT NULL GROUP BY 1), ids AS (SELECT lower(workspace_name) AS k, min(lower(workspace_id)) AS v FROM dim_workspace WHERE workspace_name IS NOT NULL GROUP BY 1),
         j AS (SELECT f.*, CASE WHEN regexp_matches(raw, {_GUID}) THEN lower(raw) ELSE ids.v END AS dest_id, CASE WHEN regexp_matches(raw, {_GUID}) THEN names.v ELSE raw END AS dest_name FROM f LEFT JOIN names ON lower(raw) = names.k LEFT JOIN ids ON lower(raw) = ids.k)
         SELECT row_id, nullif(dest_id, '') AS dest_id, nullif(dest_name, '') AS dest_name, CASE WHEN coalesce(dest_id, '') <> '' AND regexp_matches(workspace_id, {_GUID}) THEN dest_id <> lower(workspace_id)

@@ -17,7 +17,8 @@ def binary_documents(spark: SparkSession, roots: list[str], glob: str = "*.{ipyn
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(roots)
     if files.select("path").isEmpty():
         raise FileNotFoundError(f"no documents like {glob} below {', '.join(roots)}")
-    return files.orderBy("path").limit(most) if most else files
+    # the paths alone are sorted; contents are read of the chosen ones only
+    return files.join(F.broadcast(files.select("path").orderBy("path").limit(most)), "path", "left_semi") if most else files
 
 
 def attributed(files: DataFrame, base: str | None = None, default_id: str | None = None, default_name: str | None = None) -> DataFrame:
@@ -26,6 +27,14 @@ def attributed(files: DataFrame, base: str | None = None, default_id: str | None
     return files.withColumns({"workspace_id": id_, "workspace_name": name, "source_dated_partition": date})
 
 
+def with_names(df: DataFrame, named: DataFrame, id_: str, name: str) -> DataFrame:
+    """The frame with the name that ``named`` (id, name) has for its id, whatever its case; a name that is there stays, an id of several names gets the smallest."""
+    known = named.where("id <> '' AND name <> ''").groupBy(F.lower("id").alias("__id")).agg(F.min("name").alias("__name"))
+    joined = df.join(known, F.lower(id_) == F.col("__id"), "left")
+    own = F.nullif(F.col(name), F.lit("")) if name in df.columns else F.lit(None).cast("string")
+    return joined.withColumn(name, F.coalesce(own, "__name")).drop("__id", "__name")
+
+
 def snapshot(files: DataFrame) -> DataFrame:
     """An inventory of the files; their contents are never read."""
     return files.select("path", base_name(F.col("path")).alias("display_name"), "length", "modificationTime", *[c for c in ("workspace_id", "workspace_name", "source_dated_partition") if c in files.columns])

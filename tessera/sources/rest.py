@@ -27,11 +27,23 @@ AGAIN, TRIES, LONGEST = (408, 429, 500, 502, 503, 504), 5, 60.0
 def fetch(url: str, headers: dict[str, str]) -> Answer:
     try:
         with urllib.request.urlopen(urllib.request.Request(url, headers=headers), timeout=60) as r:
-            return r.status, dict(r.headers), r.read().decode()
+            return r.status or 200, dict(r.headers), r.read().decode()  # a file has no status
     except urllib.error.HTTPError as e:
         return e.code, dict(e.headers), e.read().decode("utf-8", "replace")
 
 
+def stored(url: str, headers: dict[str, str]) -> Answer:
+    """Answers that were stored as files of any file system that Arrow knows: a service to be replayed."""
+    from pyarrow import fs
+
+    at, path = fs.FileSystem.from_uri(url) if ":" in url else (fs.LocalFileSystem(), url)
+    try:
+        with at.open_input_stream(path) as f:
+            return 200, {}, f.read().decode()
+    except FileNotFoundError:
+        return 404, {}, ""
+
+
 def patient(get: Callable[[str, dict], Answer], url: str, headers: dict, sleep: Callable[[float], None] = time.sleep) -> Answer:
     """An answer, asked for again while the service is busy: as long as it says, else twice as long each time."""
     for n in range(TRIES):

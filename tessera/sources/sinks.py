@@ -55,27 +55,29 @@ def log(df: DataFrame, path: str) -> None:
 
 
 def write_texts(df: DataFrame, path: str, content: str, root: str) -> int:
-    """Writes each row's text to its relative path below a shared folder, UTF-8 with \\n; returns how many were written.
+    """Writes each row's text to its relative path below a shared folder (a path or any address that Arrow's file systems know), UTF-8 with \\n; returns how many were written.
 
     A text is written beside its place and then moved there, so a repeated task leaves whole files.
     """
 
     def run(frames):
-        import os
+        import posixpath
         import uuid
 
         import pandas as pd
+        from pyarrow import fs
 
+        to, base = fs.FileSystem.from_uri(root) if ":" in root else (fs.LocalFileSystem(), root)
         for pdf in frames:
             for p, t in zip(pdf["p"], pdf["t"]):
-                at = os.path.normpath(os.path.join(root, p))
-                if not at.startswith(os.path.normpath(root) + os.sep):
+                at = posixpath.normpath(posixpath.join(base, p))
+                if not at.startswith(posixpath.normpath(base) + "/"):
                     raise ValueError(f"{p} leads out of {root}")
-                os.makedirs(os.path.dirname(at), exist_ok=True)
+                to.create_dir(posixpath.dirname(at), recursive=True)
                 beside = f"{at}.{uuid.uuid4().hex}"
-                with open(beside, "w", encoding="utf-8", newline="\n") as f:
-                    f.write(t or "")
-                os.replace(beside, at)
+                with to.open_output_stream(beside) as f:
+                    f.write((t or "").encode("utf-8", "replace"))
+                to.move(beside, at)
             yield pd.DataFrame({"n": [len(pdf)]})
 
     return df.selectExpr(f"`{path}` AS p", f"`{content}` AS t").mapInPandas(run, "n long").groupBy().sum("n").first()[0] or 0

@@ -155,7 +155,7 @@ def test_parts_and_manifest(spark):
     assert [(r["item_id"], r["part_path"]) for r in parts(df, "body").orderBy("item_id").collect()] == [("1", "notebook-content.py"), ("2", "other.txt"), ("5", "a/b.ipynb")]
     m = {r["item_id"]: r for r in manifest(df, "body", F.lit("/o"), F.lit("r"), F.lit("2025-01-01").cast("timestamp")).collect()}
     assert (m["1"]["status"], m["1"]["error"], m["1"]["part_count"], m["1"]["parts_saved"]) == ("ok", None, 2, 1)
-    assert m["2"]["error"] == "no content part" and m["3"]["status"] == m["4"]["status"] == "error" and m["1"]["primary_target"] == "/o/r/W__ws/Notebook/n_1__1.py"
+    assert m["2"]["error"] == "no source part" and m["3"]["error"] == "no body" and m["4"]["error"] == "empty definition" and m["3"]["status"] == m["4"]["status"] == "error" and m["1"]["primary_target"] == "/o/r/W__ws/Notebook/n_1__1.py"
     assert len(m["1"].asDict()) == 21
     listing = spark.createDataFrame([(m["1"]["primary_target"],)], "path string")
     assert outstanding(manifest(df, "body", F.lit("/o"), F.lit("r"), F.current_timestamp()), listing, "primary_target").count() == 4
@@ -164,9 +164,11 @@ def test_parts_and_manifest(spark):
 
 
 def test_handlers():
+    assert len(HANDLERS) == 10
+
     @handler("TestType")
-    def f(df):
-        return df
+    def f(item, parts):
+        return parts
 
     with pytest.raises(ValueError):
         handler("testtype")(f)

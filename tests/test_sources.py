@@ -4,6 +4,7 @@ import json
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from tessera.plans.catalogue import STAR
 from tessera.sources import files, rest, sinks
@@ -142,3 +143,74 @@ def test_streams(spark, tmp_path, small):
     q = ingest.windowed_counts(timed, "10 minutes", "1 day").writeStream.outputMode("complete").format("memory").queryName("counted").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.sql("SELECT sum(n) FROM counted").first()[0] == e.count()
+
+
+class Script:
+    """A service that answers as told, address by address, and notes what it was asked."""
+
+    def __init__(self, **answers):
+        self.answers, self.asked = {k: list(v) for k, v in answers.items()}, []
+
+    def __call__(self, method, url, headers):
+        self.asked.append((method, url, headers.get("token")))
+        answer = self.answers[url].pop(0) if len(self.answers[url]) > 1 else self.answers[url][0]
+        if isinstance(answer, Exception):
+            raise answer
+        return answer
+
+
+@pytest.mark.parametrize(
+    "answers, want, asked",
+    [
+        ({"u": [(200, {}, "{}")]}, ("{}", 200, 1, 0, None), 1),
+        ({"u": [(429, {"retry-after": "7"}, ""), (503, {}, ""), (200, {}, "{}")]}, ("{}", 200, 3, 0, None), 3),
+        ({"u": [(401, {}, ""), (200, {}, "{}")]}, ("{}", 200, 2, 1, None), 2),
+        ({"u": [(404, {}, "gone")]}, (None, 404, 1, 0, "gone"), 1),
+        ({"u": [(500, {}, "broken")]}, (None, 500, 5, 0, "broken"), 5),
+        ({"u": [(202, {"Location": "op"}, "")], "op": [(200, {}, '{"status":"Running"}'), (200, {}, '{"status":"Succeeded"}')], "op/result": [(200, {}, "[1]")]}, ("[1]", 200, 1, 0, None), 4),
+        ({"u": [(202, {"x-ms-operation-id": "9"}, "")], "ops/9": [(200, {}, '{"status":"Failed"}')]}, (None, 200, 1, 0, 'operation failed: {"status":"Failed"}'), 2),
+        ({"u": [(202, {}, "")]}, (None, 202, 1, 0, "accepted without a place to ask"), 1),
+        ({"u": [OSError("lost")]}, (None, 0, 1, 0, "OSError: lost"), 1),
+    ],
+)
+def test_definitions(answers, want, asked):
+    from tessera.sources.definitions import Exchange, definition
+
+    waits, ask = [], Script(**answers)
+    assert definition(Exchange(ask, {"token": "old"}, lambda: {"token": "new"}, waits.append), "u", "ops") == want and len(ask.asked) == asked
+    assert all(t == "new" for _, _, t in ask.asked[1:]) if want[3] else all(t == "old" for _, _, t in ask.asked)
+    assert waits[:1] == [7.0] if asked == 3 else True
+
+
+def test_definitions_end_when_an_operation_never_does(monkeypatch):
+    from tessera.sources import definitions as d
+
+    monkeypatch.setattr(d, "QUESTIONS", 3)
+    ask = Script(u=[(202, {"location": "op"}, "")], op=[(200, {}, '{"status":"Running"}')])
+    assert d.definition(d.Exchange(ask, {}, None, lambda _: None), "u")[4] == "not done after 3 questions"
+    # without a way to renew the token, unauthorized is final
+    assert d.definition(d.Exchange(Script(u=[(401, {}, "")]), {}), "u") == (None, 401, 1, 0, "answered 401")
+
+
+def test_fetched_definitions_keep_columns_and_report_missing_addresses(spark):
+    from tessera.sources.definitions import fetched_definitions, scanned_in_batches
+
+    df = spark.createDataFrame([("a0", "x", 1), ("a5", "y", 2), (None, "z", 3)], "url string, item_id string, n int")
+    got = {r["item_id"]: r for r in fetched_definitions(df, "url", "tessera.plans.pipelines:rehearsal", wait=False, tasks=2).collect()}
+    assert got["x"]["http_status"] == 200 and got["y"]["fetch_error"] == "no such item" and got["z"]["fetch_error"] == "no address" and got["z"]["n"] == 3
+    ids = spark.createDataFrame([(f"i{k}",) for k in range(250)] * 2 + [(None,)], "id string")
+    batches = scanned_in_batches(ids, "id").collect()
+    assert sorted(i for b in batches for i in b["ids"]) == sorted(f"i{k}" for k in range(250)) and max(len(b["ids"]) for b in batches) <= 100
+
+
+def test_names_are_looked_up_where_none_is_recorded(spark):
+    df = spark.createDataFrame([("A", None), ("a", "own"), ("b", ""), (None, None)], "id_ string, name_ string")
+    names = spark.createDataFrame([("a", "z"), ("A", "y"), ("", "no"), ("b", None)], "id string, name string")
+    from tessera.sources.files import with_names
+
+    assert [r["name_"] for r in with_names(df, names, "id_", "name_").orderBy(F.asc_nulls_last("id_"), "name_").collect()] == ["y", "own", None, None]
+
+
+def test_stored_answers(tmp_path):
+    (tmp_path / "p.json").write_text('{"value": [1]}')
+    assert rest.stored(str(tmp_path / "p.json"), {}) == (200, {}, '{"value": [1]}') == rest.stored(f"file://{tmp_path}/p.json", {}) and rest.stored(str(tmp_path / "q"), {})[0] == 404
