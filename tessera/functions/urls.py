@@ -26,6 +26,13 @@ _BY_CONTAINER = r"(?i)abfss?://([^@/\s]+)@onelake\.dfs\.fabric\.microsoft\.com"
 _BY_PATH = r"(?i)https?://[^/\s]*\.fabric\.microsoft\.com/(?:[^?\s]*?/)?(?:v1/)?workspaces/([0-9a-f-]{8,})"
 _BY_GROUP = r"(?i)https?://(?:app|api)\.powerbi\.com/(?:[^/\s]*/)*?groups/([0-9a-f-]{8,})"
 DESTINATIONS = (_BY_CONTAINER, _BY_PATH, _BY_GROUP)
+# An address of each of these ways, # standing for the workspace, and one that names none.
+EXAMPLES = {
+    "container": "abfss://#@onelake.dfs.fabric.microsoft.com/x/Files/y",
+    "path": "https://api.fabric.microsoft.com/v1/workspaces/#/items",
+    "group": "https://app.powerbi.com/groups/#/reports/r",
+    "none": "https://#.example/groups",
+}
 GUID = r"(?i)^[0-9a-f]{8}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{12}$"
 
 

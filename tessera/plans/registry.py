@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import audit, catalogue, endpoints, findings, first_generation, integrity, manifest, pipelines, scans
+from tessera.plans import audit, catalogue, endpoints, findings, first_generation, integrity, manifest, pipelines, planted, scans
 
-MODULES = (integrity, findings, first_generation, endpoints, manifest, audit, scans, catalogue, pipelines)
+MODULES = (integrity, findings, first_generation, endpoints, manifest, audit, scans, catalogue, pipelines, planted)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
