@@ -127,9 +127,9 @@ _FOUND = [
 ]
 _SECRET = "left(s, 4) || repeat('*', CAST(length(s) - 8 AS INTEGER)) || right(s, 4)"
 ORACLE = {
-    "planted_findings": _I + f", f AS ({_values(_FOUND, 'source_kind cell_index line_number finding_type category severity url direction')}
+    "planted_findings": _I + f""", f AS ({_values(_FOUND, 'source_kind cell_index line_number finding_type category severity url direction')}
         UNION ALL SELECT id, 'code', 0, line, 'entropy', 'encoding_obfuscation', 'high', NULL, NULL FROM (SELECT id, unnest([4, 4, 5]) AS line, unnest(['https://' || id || '.example/a', 'https://' || id || '.EXAMPLE/A/', 'https://' || id || '.example/b).']) AS literal FROM i)
-        WHERE list_aggregate(string_split(literal, ''), 'entropy') > 4.5) SELECT id, id AS attached_lakehouse_id, 'L' AS attached_lakehouse_name, source_kind, CAST(cell_index AS INTEGER) AS cell_index, CAST(line_number AS INTEGER) AS line_number, finding_type, category, severity, url, direction, CAST(NULL AS VARCHAR) AS error FROM f",
+        WHERE list_aggregate(string_split(literal, ''), 'entropy') > 4.5) SELECT id, id AS attached_lakehouse_id, 'L' AS attached_lakehouse_name, source_kind, CAST(cell_index AS INTEGER) AS cell_index, CAST(line_number AS INTEGER) AS line_number, finding_type, category, severity, url, direction, CAST(NULL AS VARCHAR) AS error FROM f""",
     "planted_first_findings": _I + ", f AS (" + _values([("https://#.example/a", "write", None, None), ("https://#.example/A", "read", None, None), (None, "potential_write", "requests.post(", 'requests.post("https://#.example/a"); requests.get("https://#.example/A")'), (None, "potential_write", ".write.mode(", 'frame.write.mode("x")')], "url direction secret_type match_snippet")
     + f" UNION ALL SELECT id, NULL, 'unknown', 'SQL Password', {_SECRET} FROM (SELECT id, 'Password=' || id AS s FROM i)) SELECT id, 'code' AS source_kind, url, direction, secret_type, CASE WHEN length(match_snippet) > 200 THEN left(match_snippet, 200) || '...' ELSE match_snippet END AS match_snippet, CAST(NULL AS VARCHAR) AS error FROM f",
     "planted_chunks": _I + f""", w AS (SELECT id, '{BOUNDARY}' AS b, repeat('x', 80) AS x, repeat('y', 80) AS y FROM i), t AS (SELECT *, id || b || id || b || x || chr(10) || y AS whole FROM w),
