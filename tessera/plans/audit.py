@@ -41,10 +41,18 @@ def parse_answers(df: DataFrame) -> DataFrame:
 Scorer = Callable[[DataFrame], DataFrame]
 
 
-def score(chunks: DataFrame, scorer: Scorer, folder: str, most_per_document: int | None = None, most: int | None = None) -> DataFrame:
+def prompted(chunks: DataFrame, template: str) -> DataFrame:
+    """The chunks with their prompt: the template with {file_name}, {chunk_number}, {chunk_count} and {chunk_text} filled in, a NULL as nothing."""
+    prompt = F.lit(template)
+    for name in ("file_name", "chunk_number", "chunk_count", "chunk_text"):  # the text last, so braces in it stay
+        prompt = F.replace(prompt, F.lit("{" + name + "}"), F.coalesce(F.col(name).cast("string"), F.lit("")))
+    return chunks.withColumn("prompt", prompt)
+
+
+def score(chunks: DataFrame, scorer: Scorer, folder: str, most_per_document: int | None = None, most: int | None = None, template: str | None = None) -> DataFrame:
     """Chunks with the answers of a scorer, parsed.
 
-    The scorer gets chunk_number and file_name beside the chunks and adds ai_response and ai_error.  Answers are written to
+    The scorer gets chunk_number and file_name beside the chunks, with a ``template`` also the prompt and the form of the answer (response_format), and adds ai_response and ai_error.  Answers are written to
     ``folder`` and read again, so no later step asks the scorer twice.  ``most_per_document`` leaves out later chunks
     (chunk_count stays); more chunks than ``most`` are an error before anything is asked.
     """
@@ -52,7 +60,9 @@ def score(chunks: DataFrame, scorer: Scorer, folder: str, most_per_document: int
         chunks = chunks.where(F.col("chunk_index") < most_per_document)
     if most is not None and chunks.limit(most + 1).count() > most:
         raise ValueError(f"more than {most} chunks")
-    asked = scorer(chunks.withColumns({"chunk_number": F.col("chunk_index") + 1, "file_name": F.col("display_name")})).drop("chunk_number", "file_name")
+    named = chunks.withColumns({"chunk_number": F.col("chunk_index") + 1, "file_name": F.col("display_name")})
+    ready = prompted(named, template).withColumn("response_format", F.lit(ANSWER)) if template else named
+    asked = scorer(ready).drop("chunk_number", "file_name", "prompt", "response_format")
     asked.write.mode("overwrite").parquet(folder)
     return parse_answers(chunks.sparkSession.read.parquet(folder))
 

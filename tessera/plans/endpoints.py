@@ -25,8 +25,10 @@ def by_states(m: DataFrame) -> DataFrame:
     return m.groupBy("provisioning_state", "connection_status").agg(F.count("*").alias("endpoints"))
 
 
-def matching(m: DataFrame, name: str | None = None, ids: list[str] | None = None, target: str | None = None) -> DataFrame:
-    """Endpoints whose id is one of ``ids`` and whose name and target match the patterns; NULL counts as ''; no filter lets all pass."""
+def matching(m: DataFrame, name: str | None = None, ids: list[str] | None = None, target: str | None = None, workspaces: DataFrame | None = None) -> DataFrame:
+    """Endpoints whose id is one of ``ids``, whose workspace is one of ``workspaces`` (workspace_id) and whose name and target match the patterns; NULL counts as ''; no filter lets all pass."""
+    if workspaces is not None:
+        m = m.join(workspaces.select("workspace_id").distinct(), "workspace_id", "left_semi")
     if ids:
         m = m.where(F.col("mpe_id").isin(*ids))
     if name:
@@ -71,6 +73,26 @@ def recreate_failures(spark, sf_dir: str) -> DataFrame:
     return r.where("create_status >= 400").orderBy(F.desc("created_at"), "new_mpe_id")
 
 
+def deletions_audited(spark, sf_dir: str) -> DataFrame:
+    """The deletions of a run by status and name."""
+    d = _lifecycle_tables(spark, sf_dir)[0]
+    return d.orderBy("delete_status", F.asc_nulls_first("mpe_name"), "mpe_id")
+
+
+def recreations_audited(spark, sf_dir: str) -> DataFrame:
+    """The recreations of a run, with the names of what was deleted, by status and name."""
+    d, r, _ = _lifecycle_tables(spark, sf_dir)
+    named = r.join(d.select(F.col("mpe_id").alias("original_mpe_id"), "mpe_name"), "original_mpe_id", "left")
+    return named.select("mpe_name", "original_mpe_id", "new_mpe_id", "create_status", "created_at").orderBy("create_status", F.asc_nulls_first("mpe_name"), "new_mpe_id")
+
+
+def approvals_audited(spark, sf_dir: str) -> DataFrame:
+    """The approvals of a run with the endpoint that each belongs to, by state."""
+    _, r, a = _lifecycle_tables(spark, sf_dir)
+    known = a.join(r.select(F.col("new_mpe_id").alias("approved_mpe_id"), "original_mpe_id"), "approved_mpe_id", "left")
+    return known.select("approved_mpe_id", "original_mpe_id", "attempt", "new_connection_state", "approved_at").orderBy("new_connection_state", "approved_mpe_id", "attempt")
+
+
 def failures_by_provider(spark, sf_dir: str) -> DataFrame:
     """Failed requests and the first status per kind; events stand for the approval audit, k telling the status."""
     e = table(spark, sf_dir, "events").select(F.col("event_type").alias("target_rp"), (F.lit(200) + F.get_json_object("props", "$.k").cast("int") * 40).alias("approve_status"))
@@ -119,6 +141,10 @@ QUERIES = {
     ).select("workspace_id", "mpe_id", "run_label"),
     "lifecycle_chain": lifecycle_chain,
     "recreate_failures": recreate_failures,
+    "deletions_audited": deletions_audited,
+    "recreations_audited": recreations_audited,
+    "approvals_audited": approvals_audited,
+    "mpe_allowed": lambda s, d: matching(_mpe(s, d).select(*_FEW), workspaces=table(s, d, "dim_workspace").where("capacity_id IS NOT NULL AND deleted_at IS NULL")),
     "failures_by_provider": failures_by_provider,
 }
 
@@ -142,6 +168,10 @@ ORACLE = {
     "mpe_pending": f"SELECT workspace_id, mpe_id, run_label FROM {T} WHERE lower(connection_status) = 'pending' AND contains(connection_description, 'ticket')",
     "lifecycle_chain": f"""SELECT d.mpe_id, d.mpe_name, d.delete_status, r.new_mpe_id, r.created_at, r.create_status, l_linenumber AS attempt, l_shipdate AS approved_at, l_linestatus AS new_connection_state
         FROM {_D} d LEFT JOIN {_R} r ON r.original_mpe_id = d.mpe_id LEFT JOIN lineitem ON l_orderkey = r.new_mpe_id WHERE d.delete_status BETWEEN 200 AND 299""",
+    "deletions_audited": f"SELECT * FROM {_D}",
+    "recreations_audited": f"SELECT mpe_name, original_mpe_id, new_mpe_id, create_status, created_at FROM {_R} LEFT JOIN {_D} ON mpe_id = original_mpe_id",
+    "approvals_audited": f"SELECT l_orderkey AS approved_mpe_id, original_mpe_id, l_linenumber AS attempt, l_linestatus AS new_connection_state, l_shipdate AS approved_at FROM lineitem LEFT JOIN {_R} ON l_orderkey = new_mpe_id",
+    "mpe_allowed": f"SELECT {_COLS} FROM {T} WHERE workspace_id IN (SELECT workspace_id FROM dim_workspace WHERE capacity_id IS NOT NULL AND deleted_at IS NULL)",
     "recreate_failures": f"SELECT * FROM {_R} WHERE create_status >= 400",
     "failures_by_provider": "SELECT event_type AS target_rp, count(*) AS failed, min(s) AS first_status FROM (SELECT event_type, 200 + CAST(json_extract_string(props, '$.k') AS INTEGER) * 40 AS s FROM events) WHERE s >= 400 GROUP BY 1",
 }

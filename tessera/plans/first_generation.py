@@ -106,7 +106,24 @@ def flagged_notebooks(f: DataFrame) -> DataFrame:
     return shown.orderBy(F.desc("potential_writes"), F.desc("secret_count"), F.asc_nulls_first("workspace_id"), F.asc_nulls_first("notebook_id")).limit(200)
 
 
-ROLLUPS = {f.__name__: f for f in (overview, direction_by_kind, host_rollup, write_urls, cross_workspace, cross_workspace_rows, secret_types, secret_rows, write_signatures, notebook_review_queue, review_status_counts, flagged_notebooks)}
+def summary(f: DataFrame) -> DataFrame:
+    """The five totals of a run; a write call's signature is no secret."""
+    counted = lambda c: F.sum(F.when(F.expr(c), 1))  # noqa: E731  none at all gives NULL
+    per = f.groupBy(_DISTINCT).agg(counted("url IS NOT NULL").alias("urls"), counted("secret_type IS NOT NULL AND direction <> 'potential_write'").alias("secrets"), counted("direction = 'potential_write'").alias("potential_writes"), counted("cross_workspace = true").alias("cross_ws"))
+    return per.agg(F.count(_DISTINCT).alias("notebooks"), *[F.sum(c).alias(c) for c in ("urls", "secrets", "potential_writes", "cross_ws")])
+
+
+def flows(f: DataFrame) -> DataFrame:
+    """Flows between workspaces by name, most rows first."""
+    counted = f.where("cross_workspace = true").groupBy(F.col("workspace_name").alias("source"), F.col("dest_workspace_name").alias("dest"), "direction").agg(F.count("*").alias("rows"))
+    return counted.orderBy(F.desc("rows"))
+
+
+def needs_review(f: DataFrame) -> DataFrame:
+    return notebook_review_queue(f).where(F.col("review_status").isin("flag_for_review", "cross_workspace_write"))
+
+
+ROLLUPS = {f.__name__: f for f in (overview, summary, flows, needs_review, direction_by_kind, host_rollup, write_urls, cross_workspace, cross_workspace_rows, secret_types, secret_rows, write_signatures, notebook_review_queue, review_status_counts, flagged_notebooks)}
 
 
 def _over(rollup):
@@ -138,6 +155,9 @@ ORACLE = {
     "v1_secret_rows": f"SELECT DISTINCT row_id, workspace_id, workspace_name, notebook_id, display_name, part_path, secret_type, source_kind, match_snippet FROM {_T} WHERE secret_type IS NOT NULL ORDER BY workspace_name NULLS FIRST, notebook_id NULLS FIRST, secret_type, row_id LIMIT 200",
     "v1_write_signatures": f"SELECT secret_type AS write_signature, {_COUNTS} FROM {_T} WHERE direction = 'potential_write' GROUP BY 1",
     "v1_notebook_review_queue": _QUEUE + "SELECT * FROM queue",
+    "v1_summary": f"SELECT count(DISTINCT notebook_id) AS notebooks, sum(CASE WHEN url IS NOT NULL THEN 1 END) AS urls, sum(CASE WHEN secret_type IS NOT NULL AND direction <> 'potential_write' THEN 1 END) AS secrets, sum(CASE WHEN direction = 'potential_write' THEN 1 END) AS potential_writes, sum(CASE WHEN cross_workspace THEN 1 END) AS cross_ws FROM {_T}",
+    "v1_flows": f"SELECT workspace_name AS source, dest_workspace_name AS dest, direction, count(*) AS rows FROM {_T} WHERE cross_workspace GROUP BY 1, 2, 3",
+    "v1_needs_review": _QUEUE + "SELECT * FROM queue WHERE review_status IN ('flag_for_review', 'cross_workspace_write')",
     "v1_review_status_counts": _QUEUE + "SELECT review_status, count(*) AS notebooks FROM queue GROUP BY 1",
     "v1_flagged_notebooks": _QUEUE + "SELECT workspace_id, workspace_name, notebook_id, display_name, potential_writes, cross_workspace_urls, secret_count FROM queue WHERE review_status = 'flag_for_review' ORDER BY potential_writes DESC, secret_count DESC, workspace_id NULLS FIRST, notebook_id NULLS FIRST LIMIT 200",
 }

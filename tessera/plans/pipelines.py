@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tessera.functions.ids import canonical_id
 from tessera.functions.text import content_hash16
 from tessera.operators.fanout import call_all, outcomes
-from tessera.plans.audit import length_scorer, score, stamped
+from tessera.plans.audit import length_scorer, prompted, score, stamped
 from tessera.plans.catalogue import STAR
 from tessera.plans.endpoints import with_first
 from tessera.session import checkpoint_dir, table
@@ -116,6 +116,31 @@ def snapshot_taken(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(at).groupBy("item_type").agg(F.count("*").alias("items"))
 
 
+def reread_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was written is registered as a view and asked in SQL."""
+    at, view = folder(spark, "view"), f"reread_{uuid.uuid4().hex}"
+    sinks.overwrite(table(spark, sf_dir, "fabric_url_scanner").select("row_id", "direction").distinct(), at)
+    files.reread(spark, at, view)
+    return spark.sql(f"SELECT direction, count(*) AS n FROM {view} GROUP BY direction")
+
+
+def prompts_made(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prompt of every chunk from a template, as the scorer gets it."""
+    c = table(spark, sf_dir, "ai_chunks").select("notebook_id", "display_name", "chunk_index", "chunk_count", "chunk_text").distinct()
+    named = c.withColumns({"chunk_number": F.col("chunk_index") + 1, "file_name": F.col("display_name")})
+    return prompted(named, "File {file_name}, part {chunk_number} of {chunk_count}:\n{chunk_text}").select("notebook_id", "chunk_index", "prompt")
+
+
+def first_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first of three sources that has any records: one fails, one is empty, the last has the regions' names page by page."""
+    root = folder(spark, "sources")
+    names = table(spark, sf_dir, "region").select("r_name")  # five rows
+    sinks.write_texts(names.agg(F.to_json(F.struct(F.array_sort(F.collect_list("r_name")).alias("value"))).alias("t")).select(F.lit("0.json").alias("path"), "t"), "path", "t", root)
+    sinks.write_texts(spark.createDataFrame([("none.json", '{"value": []}')], "path string, t string"), "path", "t", root)
+    read = lambda name: lambda: [r for page in rest.pages(rest.stored, f"{root}/{name}", {}, sleep=lambda _: None) for r in page]
+    return spark.createDataFrame([(r,) for r in rest.first_filled(read("missing.json"), read("none.json"), read("0.json"))], "name string")
+
+
 def _measure(text: str) -> int:
     if text == "error":
         raise ValueError("cannot be measured")
@@ -234,7 +259,7 @@ def recorded_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        files_scanned, rest_pages, streamed_batches, streamed_windows, appended_runs, upserted_facts, reported, snapshot_taken, calls_made, first_failures, scored_chunks, endpoint_with_item, previewed,
+        files_scanned, rest_pages, streamed_batches, streamed_windows, appended_runs, upserted_facts, reported, snapshot_taken, reread_view, prompts_made, first_source, calls_made, first_failures, scored_chunks, endpoint_with_item, previewed,
         notebook_workspaces, lakehouse_workspaces, iso_times, plan_of_items, definitions_fetched, scan_batches, recorded_hashes,
     )
 }
@@ -258,6 +283,9 @@ ORACLE = {
     "upserted_facts": "SELECT severity, count(*) AS facts, count(DISTINCT finding_id) AS keys FROM (SELECT finding_id, max(severity) AS severity FROM fact_scan_findings WHERE finding_id IS NOT NULL AND (severity IS NOT NULL OR kind IS NOT NULL) GROUP BY 1) GROUP BY 1",
     "reported": "SELECT form, severity, category, CASE WHEN form = 'log' THEN 2 ELSE 1 END * count(*) AS n FROM scan_results, (VALUES ('csv'), ('json'), ('log')) v(form) WHERE severity IS NOT NULL GROUP BY 1, 2, 3",
     "snapshot_taken": "SELECT item_type, count(*) AS items FROM (SELECT DISTINCT item_id, item_type FROM item_inventory) GROUP BY 1",
+    "reread_view": "SELECT direction, count(*) AS n FROM (SELECT DISTINCT row_id, direction FROM fabric_url_scanner) GROUP BY 1",
+    "prompts_made": "SELECT DISTINCT notebook_id, chunk_index, 'File ' || coalesce(display_name, '') || ', part ' || coalesce(CAST(chunk_index + 1 AS VARCHAR), '') || ' of ' || coalesce(CAST(chunk_count AS VARCHAR), '') || ':' || chr(10) || coalesce(chunk_text, '') AS prompt FROM ai_chunks",
+    "first_source": "SELECT r_name AS name FROM region WHERE r_name IS NOT NULL",
     "calls_made": "SELECT CAST(event_id % 5 AS VARCHAR) AS spoke, event_type AS argument, event_type <> 'error' AS ok, CASE WHEN event_type <> 'error' THEN CAST(length(event_type) AS VARCHAR) END AS result, CASE WHEN event_type = 'error' THEN 'ValueError: cannot be measured' END AS error, count(*) AS n FROM events GROUP BY 1, 2, 3, 4, 5",
     "first_failures": """WITH e AS (SELECT CAST(event_id % 5 AS VARCHAR) AS spoke, event_id, event_type = 'error' AS failed, value FROM events),
         p AS (SELECT spoke, count(*) AS calls, count(*) FILTER (failed) AS failures, max(value) AS longest FROM e GROUP BY 1 UNION ALL SELECT '(all)', count(*), count(*) FILTER (failed), max(value) FROM e HAVING count(*) > 0),

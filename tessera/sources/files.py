@@ -65,3 +65,9 @@ def items(spark: SparkSession, rows: list[dict]) -> DataFrame:
 def replayed(spark: SparkSession, table: str, column: str) -> DataFrame | None:
     """Distinct values of a column of a table of an earlier run, or None where there is no such table."""
     return spark.table(table).select(column).distinct() if spark.catalog.tableExists(table) else None
+
+
+def reread(spark: SparkSession, path: str, view: str) -> DataFrame:
+    """A folder that a run has written, under a name that SQL can use."""
+    spark.read.parquet(path).createOrReplaceTempView(view)
+    return spark.table(view)
