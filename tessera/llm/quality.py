@@ -20,6 +20,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -99,9 +100,18 @@ def _fold(word: str) -> str:
     return f
 
 
+#: ASCII letters, hyphens and apostrophes as they are, marks apart, everything else as a blank.
+_APART = {c: chr(c) if chr(c).isalpha() or chr(c) in "-'" else f" {chr(c)} " if chr(c) in _BREAKS else " " for c in range(128)}
+
+
 def _tokens(line: str) -> list[str]:
     """Words in lower case, and the marks between them."""
-    found = _TOKEN.findall(line.lower())
+    low = line.lower()
+    if low.isascii() and "--" not in low and "''" not in low and "-'" not in low and "'-" not in low:
+        found = low.translate(_APART).split()
+        # a hyphen or apostrophe joins letters on both sides, else it is no part of a word
+        return found if "-" not in low and "'" not in low else [w for x in found if (w := x.strip("-'"))]
+    found = _TOKEN.findall(low)
     return found if line.isascii() else [w if w.isascii() or w in _BREAKS else _fold(w) for w in found]
 
 
@@ -132,16 +142,11 @@ class Pairs:
 
     def plausible(self, tokens: list[str]) -> tuple[int, float]:
         """Number of neighbours that are both familiar words, and how many of them are known pairs against the sentences' own share."""
-        n = hit = 0
-        words, known, last = self.words, self.known, None
-        for t in tokens:
-            if t in words:
-                if last is not None:
-                    n += 1
-                    hit += (last, t) in known
-                last = t
-            elif t in _BREAKS:  # names and numbers in between don't count
-                last = None
+        words = self.words
+        # names and numbers in between don't count
+        kept = [t for t in tokens if t in words or t in _BREAKS]
+        familiar = [t in words for t in kept]
+        n, hit = sum(map(and_, familiar, familiar[1:])), sum(map(self.known.__contains__, zip(kept, kept[1:])))
         return n, hit / n / self.share if n else 1.0
 
 
@@ -149,13 +154,17 @@ def sentence_pairs(text: str) -> Counter:
     """Word pairs of the lines that look like whole sentences."""
     out: Counter = Counter()
     for raw in text.split("\n"):
+        if len(raw) < 30:  # cleaning only shortens
+            continue
         line = _clean(raw).strip()
-        if len(line) < 30 or not line[0].isupper() or not _END.search(line) or _BULLET.match(line) or _STAMP.match(line) or line.startswith("#"):
+        if len(line) < 30 or not line[0].isupper() or not _END.search(line[-8:]) or _BULLET.match(line) or _STAMP.match(line):
             continue
         (_, marks, digits, _), tokens = tally(line), _tokens(line)
         if marks + digits > 0.05 * len(line) or _repeated([t for t in tokens if t not in _BREAKS]):
             continue
-        out.update((a, b) for a, b in zip(tokens, tokens[1:]) if a not in _BREAKS and b not in _BREAKS)
+        out.update(zip(tokens, tokens[1:]))
+    for pair in [x for x in out if x[0] in _BREAKS or x[1] in _BREAKS]:
+        del out[pair]
     return out
 
 
