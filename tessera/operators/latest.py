@@ -44,16 +44,54 @@ def upsert(target: DataFrame, source: DataFrame, key: str, order: str | None = N
     return stay.unionByName(one.select(*[c for c in target.columns if c in one.columns]), allowMissingColumns=True)
 
 
-def upsert_path(spark: SparkSession, path: str, source: DataFrame, key: str, order: str | None = None) -> None:
-    """Upserts into a parquet folder: writes the merged table beside it, then swaps the folders."""
-    merged = upsert(spark.read.parquet(path), source, key, order)
+POINTER = "_current"
+
+
+def _files(spark: SparkSession, path: str):
+    """Hadoop's path class and the folder's file context."""
     jvm = spark.sparkContext._jvm
-    new, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
-    merged.write.parquet(new)
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.rename(at, jvm.org.apache.hadoop.fs.Path(old))
-    if not fs.rename(jvm.org.apache.hadoop.fs.Path(new), at):
-        fs.rename(jvm.org.apache.hadoop.fs.Path(old), at)
-        raise OSError(f"{new} could not take the place of {path}")
-    fs.delete(jvm.org.apache.hadoop.fs.Path(old), True)
+    at = jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    return at, jvm.org.apache.hadoop.fs.FileContext.getFileContext(at(path).getFileSystem(conf).getUri(), conf), at(path).getFileSystem(conf)
+
+
+def _version(spark: SparkSession, path: str) -> str | None:
+    """Name of the folder that holds the table's current content, None before the first upsert."""
+    at, _, fs = _files(spark, path)
+    pointer = at(f"{path}/{POINTER}")
+    if not fs.exists(pointer):
+        return None
+    stream = fs.open(pointer)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """A table that upserts write: the version its pointer names, or the folder itself before the first upsert."""
+    name = _version(spark, path)
+    return spark.read.parquet(f"{path}/{name}" if name else path)
+
+
+def upsert_path(spark: SparkSession, path: str, source: DataFrame, key: str, order: str | None = None) -> None:
+    """Upserts into a parquet folder: writes the merged table as a new version, then moves a pointer to it in one step.
+
+    A reader (``current``) sees the old version or the new one, never neither; the version before stays for those that still read it, older ones go.
+    """
+    before = _version(spark, path)
+    new = f"_v-{uuid.uuid4().hex}"
+    upsert(current(spark, path), source, key, order).write.parquet(f"{path}/{new}")
+    at, context, fs = _files(spark, path)
+    aside = f"{path}/{POINTER}-{uuid.uuid4().hex}"
+    out = fs.create(at(aside), True)
+    out.write(bytearray(new.encode()))
+    out.close()
+    option = spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename
+    how = spark.sparkContext._gateway.new_array(option, 1)
+    how[0] = option.OVERWRITE
+    context.rename(at(aside), at(f"{path}/{POINTER}"), how)
+    for found in fs.listStatus(at(path)):
+        name = found.getPath().getName()
+        if name.startswith("_v-") and name not in (new, before):
+            fs.delete(found.getPath(), True)

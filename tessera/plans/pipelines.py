@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tessera.functions.ids import canonical_id
 from tessera.functions.text import content_hash16
 from tessera.operators.fanout import call_all, outcomes
+from tessera.operators.latest import current
 from tessera.plans.audit import length_scorer, prompted, score, stamped
 from tessera.plans.catalogue import STAR
 from tessera.plans.endpoints import with_first
@@ -30,11 +31,12 @@ def folder(spark: SparkSession, name: str) -> str:
 
 def files_scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every notebook source written as a file below its workspace and date, and the files scanned with what their paths tell."""
-    n = table(spark, sf_dir, "notebook_sources").select("source_id", "workspace_id", "source_dated_partition", "source_text").where("source_text IS NOT NULL").distinct()
+    n = table(spark, sf_dir, "notebook_sources").select("source_id", "workspace_id", "source_dated_partition", "source_text").where("source_text IS NOT NULL AND source_id IS NOT NULL").distinct()
     date = F.coalesce(F.replace("source_dated_partition", F.lit("-"), F.lit("")), F.lit("undated"))
     path = F.concat_ws("/", canonical_id(F.col("workspace_id")), date, F.concat("source_id", F.lit(".py")))
     root = folder(spark, "files")
-    sinks.write_texts(n.select(path.alias("path"), F.col("source_text").alias("t")), "path", "t", root)
+    if not sinks.write_texts(n.select(path.alias("path"), F.col("source_text").alias("t")), "path", "t", root):
+        return spark.createDataFrame([], "source_id long, workspace_id string, dated string, length long, content_hash string")
     found = files.attributed(files.binary_documents(spark, [root], "*.py"), default_id="none")
     return found.select(F.regexp_extract("path", r"(\d+)\.py$", 1).cast("long").alias("source_id"), "workspace_id", F.col("source_dated_partition").alias("dated"), "length", F.substring(F.sha2("content", 256), 1, 16).alias("content_hash"))
 
@@ -82,7 +84,7 @@ def appended_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     middle = "inv-20250601"
     sinks.append(m.where(F.col("run_label") < middle).drop("connection_status"), root)
     sinks.append(m.where(F.col("run_label") >= middle), root)
-    return sinks.read_runs(spark, root).groupBy("run_label").agg(F.count("*").alias("readings"), F.count("connection_status").alias("with_status"))
+    return sinks.read_runs(spark, root, "mpe_id string, provisioning_state string, connection_status string, run_label string").groupBy("run_label").agg(F.count("*").alias("readings"), F.count("connection_status").alias("with_status"))
 
 
 def upserted_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +94,7 @@ def upserted_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     sinks.ensure(spark, STAR, root)
     for part in (f.where("severity IS NOT NULL"), f.where("kind IS NOT NULL")):
         sinks.write_facts(spark, root, STAR, "fact_scan_findings", part)
-    return spark.read.parquet(f"{root}/fact_scan_findings").groupBy("severity").agg(F.count("*").alias("facts"), F.countDistinct("finding_id").alias("keys"))
+    return current(spark, f"{root}/fact_scan_findings").groupBy("severity").agg(F.count("*").alias("facts"), F.countDistinct("finding_id").alias("keys"))
 
 
 def reported(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -275,7 +277,7 @@ _DATE = "replace(source_dated_partition, '-', '')"
 _FAILED = "FROM (SELECT DISTINCT run_label, workspace_id, mpe_id, mpe_name FROM mpe_inventory WHERE lower(trim(provisioning_state)) = 'failed')"
 ORACLE = {
     "files_scanned": f"""SELECT DISTINCT source_id, CASE WHEN {_DATE} IS NOT NULL AND regexp_matches({_id("workspace_id")}, {_GUID}) THEN {_id("workspace_id")} ELSE 'none' END AS workspace_id,
-        CASE WHEN regexp_matches({_id("workspace_id")}, {_GUID}) THEN {_DATE} END AS dated, strlen(source_text) AS length, left(sha256(source_text), 16) AS content_hash FROM notebook_sources WHERE source_text IS NOT NULL""",
+        CASE WHEN regexp_matches({_id("workspace_id")}, {_GUID}) THEN {_DATE} END AS dated, strlen(source_text) AS length, left(sha256(source_text), 16) AS content_hash FROM notebook_sources WHERE source_text IS NOT NULL AND source_id IS NOT NULL""",
     "rest_pages": "SELECT CAST((row_number() OVER (ORDER BY workspace_id NULLS FIRST, workspace_name NULLS FIRST, capacity_id NULLS FIRST) - 1) // 50 AS INTEGER) AS page, workspace_id, workspace_name, capacity_id FROM (SELECT DISTINCT workspace_id, workspace_name, capacity_id FROM dim_workspace)",
     "streamed_batches": "SELECT event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1",
     "streamed_windows": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2",

@@ -105,17 +105,13 @@ def poll(get: Callable[[str, dict], Answer], url: str, headers: dict, every: flo
 
 def first_filled(*sources: Callable[[], list]) -> list:
     """The records of the first source that has any; one that fails is passed over unless it is the last."""
-    failed: Exception | None = None
-    for s in sources:
+    for n, source in enumerate(sources, 1):
         try:
-            rows = s()
-        except OSError as e:
-            failed = e
-            continue
-        if rows:
-            return rows
-    if failed:
-        raise failed
+            if rows := source():
+                return rows
+        except OSError:
+            if n == len(sources):
+                raise
     return []
 
 

@@ -24,9 +24,9 @@ def append(df: DataFrame, target: str, partition: str | None = "run_label") -> N
     _write(df, target, "append", partition if partition in df.columns else None, mergeSchema="true")
 
 
-def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    """All runs of an appended folder; columns that came later are NULL in earlier runs."""
-    return spark.read.option("mergeSchema", "true").parquet(path)
+def read_runs(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """All runs of an appended folder; columns that came later are NULL in earlier runs.  With a ``schema`` no file is opened to learn it, and a folder without rows is an empty table."""
+    return spark.read.schema(schema).parquet(path) if schema else spark.read.option("mergeSchema", "true").parquet(path)
 
 
 def ensure(spark: SparkSession, tables: dict[str, tuple[str, str]], root: str) -> None:

@@ -6,6 +6,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from tessera.operators.latest import current
 from tessera.plans.catalogue import STAR
 from tessera.sources import files, rest, sinks
 from tessera.streaming import ingest
@@ -70,8 +71,12 @@ def test_star_schema_upserts(spark, tmp_path):
     sinks.write_facts(spark, root, STAR, "dim_severity", new)
     sinks.write_facts(spark, root, STAR, "dim_severity", spark.createDataFrame([("high", 9, "z")], STAR["dim_severity"][1]))
     sinks.write_facts(spark, root, STAR, "dim_severity", new.limit(0))
-    spark.catalog.clearCache()
-    assert rows(spark.read.parquet(f"{root}/dim_severity")) == [("high", 9, "z"), ("low", 3, "y")]
+    assert rows(current(spark, f"{root}/dim_severity")) == [("high", 9, "z"), ("low", 3, "y")]
+    # a reader of the version before isn't disturbed by the next upsert; older versions go
+    held = current(spark, f"{root}/dim_severity")
+    sinks.write_facts(spark, root, STAR, "dim_severity", spark.createDataFrame([("low", 0, "q")], STAR["dim_severity"][1]))
+    assert rows(held) == [("high", 9, "z"), ("low", 3, "y")] and rows(current(spark, f"{root}/dim_severity")) == [("high", 9, "z"), ("low", 0, "q")]
+    assert sum(p.name.startswith("_v-") for p in (tmp_path / "dim_severity").iterdir()) == 2 and current(spark, f"{root}/dim_item_type").count() == 0
     with pytest.raises(ValueError):
         sinks.write_facts(spark, root, STAR, "other", new)
 
