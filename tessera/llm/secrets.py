@@ -92,6 +92,8 @@ _Q = r"""\\{0,3}(?:\"\"\"|'''|["'`])"""
 _BARE = r"""[^\s"'`\\;,<>)\]}|]+"""
 _IN = r"""[^\s"'`\\]{3,}?"""
 _MASK = re.compile(r"\*{3,}|…|\.{3,}|\[REDACTED\]|<redacted>|[xX]{8,}|•{3,}|#{4,}")
+#: A call or an index: code that looks a value up, no literal.
+_LOOKUP = re.compile(r"[A-Za-z_][\w.]*[(\[]")
 _GUID = re.compile(r"^[{(]?[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}[)}]?$")
 #: Lengths in hex digits of the usual hashes (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512).
 _HASHES = {32, 40, 56, 64, 96, 128}
@@ -227,6 +229,8 @@ def find(text: str, words: Dictionary) -> list[Secret]:
             return
         value = text[a:b]
         if bare:
+            if _LOOKUP.match(value):
+                return
             value = value.rstrip(".,;:!?")
             b = a + len(value)
         if text[b : b + 1] in _QUOTES:
